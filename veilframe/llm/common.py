@@ -77,7 +77,7 @@ _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE[list(ASCII_SPACE)] = 0
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.ones(1, np.uint64)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(ASCII_SPACE)] = True
 
@@ -85,7 +85,7 @@ IS_SPACE[list(ASCII_SPACE)] = True
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     if n > len(_POWERS):
-        size = 1 << int(n - 1).bit_length()
+        size = max(64, 1 << int(n - 1).bit_length())
         _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(0xD6E8FEB86659FD93))])
     return _POWERS
 

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_of_id, read, slices
 
@@ -70,9 +71,10 @@ def predict(
     min_margin: float = 0.004,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """doc_id, lang_pred, score, margin_bytes, accepted for every row; accepted is false for narrow margins and `und`."""
-    langs = list(model)
+    """doc_id, lang_pred, score, margin_bytes, accepted for every row, and the columns named in carry as they are; accepted is false for narrow margins and `und`."""
+    langs, carry = list(model), carry or []
     given = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -102,13 +104,16 @@ def predict(
                 pred.append(langs[best]), score.append(share), margin.append(gap)
                 accepted.append(gap >= min_margin_bytes and gap >= min_margin * (rest[1] if len(rest) > 1 else 0))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.int64()), pa.array(accepted, pa.bool_())],
-                ["doc_id", "lang_pred", "score", "margin_bytes", "accepted"],
+                [ids, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.int64()), pa.array(accepted, pa.bool_()), *part.columns[2:]],
+                [x.split()[0] for x in SCHEMA.split(", ")] + [f"carried_{c}" for c in carry],
             )
 
     text = F.col(text_col).cast("string")
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(text).cast("binary").alias("text"))
-    return plain.mapInArrow(run, SCHEMA)
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(text).cast("binary").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    kinds = T.StructType([T.StructField(f"carried_{c}", docs.schema[c].dataType) for c in carry])
+    out = plain.mapInArrow(run, T.StructType([*T.StructType.fromDDL(SCHEMA).fields, *kinds.fields]))
+    names = [c for c in out.columns[:5] if c not in carry]
+    return out.select(*names, *(F.col(f"carried_{c}").alias(c) for c in carry))
 
 
 def learn_rows(docs: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, gram_hashes, mix, read, slices, word_hashes
 
@@ -217,40 +218,71 @@ def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 3, bucket_byte
     return route(docs, window, gram, buckets, block_bytes).groupBy("bucket").applyInArrow(_bucket(window), _SPANS)
 
 
-_CUT = "doc_id long, row_key long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+_CUT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+_NO_ID = -(2**63)
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", **tuning) -> DataFrame:
-    """One row per row of docs: doc_id, row_key, n_words, n_removed, kept_text (joined by one space), kept_sha256."""
+def with_spans(docs: DataFrame, window: int, id_col: str, text_col: str, carry: list[str], **tuning) -> DataFrame:
+    """doc_id (null as the least long), text as binary, spans (null where nothing repeats), carried columns."""
     scratch = Scratch(docs.sparkSession, "substring")
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    lowest = F.lit(-(2**63))
-    plain = given.select(F.coalesce("doc_id", lowest).alias("doc_id"), F.coalesce("text", F.lit(b"")).alias("text"))
-    plain = plain.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
-    spans = repeated_spans(plain, window, **tuning).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    spans = scratch.table(spans, "spans")
+    text = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    found = repeated_spans(plain.select("doc_id", "row_key", "text"), window, **tuning)
+    spans = scratch.table(found.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "spans")
+    return plain.join(spans, ["doc_id", "row_key"], "left").drop("row_key")
+
+
+def remaining(text: bytes, spans: list[dict] | None) -> tuple[int, list[bytes]]:
+    """The number of words, and those that no span covers."""
+    words = text.split()
+    if not spans:
+        return len(words), words
+    change = np.zeros(len(words) + 1, np.int64)
+    np.add.at(change, [s["first"] for s in spans], 1)
+    np.add.at(change, [s["last"] + 1 for s in spans], -1)
+    return len(words), [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
+
+
+def cut_documents(docs: DataFrame, columns: list[str], window: int = 20, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars", **tuning) -> DataFrame:
+    """docs with repeats cut from the text and size_col its new length; rows that lose all their words go.
+
+    A row that loses nothing stays as it is.
+    """
+    given = with_spans(docs, window, id_col, text_col, columns, **tuning)
+
+    def run(batches):
+        for part in slices(batches, rows=512):
+            texts, stays = [], []
+            for text, spans in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                out = b" ".join(remaining(text, spans)[1]) if spans else None
+                texts.append(None if out is None else out.decode())
+                stays.append(out != b"")
+            got = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *part.columns[2:]], ["cut", *part.schema.names[2:]])
+            yield got.filter(pa.array(stays, pa.bool_()))
+
+    fields = [T.StructField("cut", T.StringType()), *(T.StructField(f"carried_{c}", docs.schema[c].dataType) for c in columns)]
+    done = given.select("text", "spans", *(f"carried_{c}" for c in columns)).mapInArrow(run, T.StructType(fields))
+    new = {text_col: F.coalesce("cut", f"carried_{text_col}"), size_col: F.when(F.col("cut").isNull(), F.col(f"carried_{size_col}")).otherwise(F.length("cut").cast("long"))}
+    return done.select(*(new.get(c, F.col(f"carried_{c}")).alias(c) for c in columns))
+
+
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", **tuning) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed, kept_text (joined by one space), kept_sha256."""
+    given = with_spans(docs, window, id_col, text_col, [], **tuning)
 
     def run(batches):
         for part in slices(batches, rows=512):
             cols: list[list] = [[], [], [], []]
-            for text, own in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                words = text.split()
-                n, kept = len(words), words
-                if own:
-                    change = np.zeros(n + 1, np.int64)
-                    np.add.at(change, [s["first"] for s in own], 1)
-                    np.add.at(change, [s["last"] + 1 for s in own], -1)
-                    stay = np.cumsum(change[:n]) == 0
-                    kept = [words[i] for i in np.flatnonzero(stay).tolist()]
+            for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                n, kept = remaining(text, spans)
                 out = b" ".join(kept)
                 for c, v in zip(cols, (n, n - len(kept), out.decode(), hashlib.sha256(out).hexdigest()), strict=True):
                     c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            ids = part.column(0)
-            yield pa.RecordBatch.from_arrays([ids, part.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "row_key", "n_words", "n_removed", "kept_text", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in _CUT.split(", ")])
 
-    cut = plain.join(spans, ["doc_id", "row_key"], "left").select("doc_id", "row_key", "text", "spans").mapInArrow(run, _CUT)
-    return cut.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id")))
+    cut = given.select("doc_id", "text", "spans").mapInArrow(run, _CUT)
+    return cut.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
