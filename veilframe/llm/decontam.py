@@ -31,11 +31,19 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
-def shingles_of(words: str, k: int = K) -> Column:
-    """Hashes of k words in a row; fewer words are one shingle, none is none."""
-    parts = ", ".join(f"{words}[i + {j}]" for j in range(k))
-    whole = f"case when size({words}) = 0 then array() else array(xxhash64(array_join({words}, ' '), 0)) end"
-    return F.expr(f"case when size({words}) >= {k} then transform(sequence(0, size({words}) - {k}), i -> xxhash64({parts})) else cast({whole} as array<bigint>) end")
+def shingles_of(text: Column, k: int = K) -> Column:
+    """Hashes of k words in a row of a text; fewer words are one shingle, none is none.
+
+    The words are bound by a lambda over a one-element array: an attribute could be inlined, when filters are pushed
+    down, into the inner lambda, which would split the text again for every shingle.
+    """
+
+    def hashed(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
+        none = F.array().cast("array<bigint>")
+        return F.when(F.size(w) >= k, many).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " "), F.lit(0)))).otherwise(none)
+
+    return F.get(F.transform(F.array(words_of(text)), hashed), F.lit(0))
 
 
 def _simhash(rows: DataFrame, key: list[str], shingle: str) -> DataFrame:
@@ -70,8 +78,9 @@ def find_contamination(
     if not 0 <= radius <= 23:
         raise ValueError("8 blocks with 2 differing bits guarantee a radius of 23 at most")
     scratch = Scratch(docs.sparkSession, "decontam")
-    item = items.select(F.col(item_col).cast("long").alias("item_id"), words_of(F.col("text").cast("string")).alias("w")).where("size(w) > 0")
-    item = item.select("item_id", F.size("w").alias("len"), shingles_of("w", k).alias("sh"))
+    body = F.col("text").cast("string")
+    item = items.select(F.col(item_col).cast("long").alias("item_id"), F.size(words_of(body)).alias("len"), shingles_of(body, k).alias("sh"))
+    item = scratch.table(item, "shingles").where("len > 0")
     item = scratch.table(item.groupBy("len", "sh").agg(F.collect_set("item_id").alias("ids"), F.min(F.coalesce("item_id", F.lit(-1))).alias("rank")).select("len", "sh", "ids", F.xxhash64("len", "sh", "rank").alias("item")), "items")
     places = scratch.table(item.select("len", F.posexplode("sh").alias("q", "h")).distinct(), "places")
     small = places.count() <= broadcast_rows
@@ -79,9 +88,9 @@ def find_contamination(
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
 
-    doc = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("w"))
-    doc = doc.select("doc_id", shingles_of("w", k).alias("sh"))
-    doc = doc.select("doc_id", F.xxhash64("sh").alias("text_key"), F.posexplode("sh").alias("p", "h"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), shingles_of(F.col(text_col).cast("string"), k).alias("sh"))
+    # The outer form: the inner one would infer a filter on the array's size and evaluate the shingles twice.
+    doc = texts.select("doc_id", F.xxhash64("sh").alias("text_key"), F.posexplode_outer("sh").alias("p", "h"))
     # Only the shingles that some item has are needed to lay windows; their neighbours come from the second pass below.
     hits = scratch.table(doc.join(side(places.select("h").distinct()), "h", "left_semi").distinct(), "hits")
     key = ["doc_id", "text_key", "start", "len"]
@@ -89,7 +98,6 @@ def find_contamination(
     starts = aligned.select("doc_id", "text_key", "len", F.explode(F.sequence(F.col("at") - slide, F.col("at") + slide)).alias("start")).where("start >= 0").distinct()
     spans = scratch.table(starts.select(*key), "starts")
     marked = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "len")).alias("windows"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("w")).select("doc_id", shingles_of("w", k).alias("sh"))
     texts = texts.withColumn("text_key", F.xxhash64("sh"))
     same = texts["doc_id"].eqNullSafe(marked["doc_id"]) & (texts["text_key"] == marked["text_key"])
     window = texts.join(marked, same).select(texts["doc_id"], texts["text_key"], "sh", F.explode("windows").alias("x"))
@@ -97,7 +105,7 @@ def find_contamination(
     window = window.where(F.expr(f"x.start + greatest(1, x.len - {k - 1}) <= size(sh)"))
     window = scratch.table(window.select("doc_id", "text_key", F.col("x.start").alias("start"), F.col("x.len").alias("len"), grams.alias("own")).distinct(), "windows")
 
-    prints = _simhash(window.select(*key, F.explode("own").alias("h")), key, "h")
+    prints = scratch.table(_simhash(window.select(*key, F.explode("own").alias("h")), key, "h"), "window-prints")
     item_prints = scratch.table(_simhash(item.select("item", "len", F.explode("sh").alias("h")), ["item", "len"], "h"), "prints")
     near = [0] + [1 << i for i in range(8)] + [1 << i | 1 << j for i in range(8) for j in range(i)]
     listed = item_prints.select("item", "len", F.col("fp").alias("ifp"), F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.expr(_block("fp", i)).alias("v")) for i in range(8)])).alias("b"))
