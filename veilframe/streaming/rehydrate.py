@@ -1,0 +1,102 @@
+"""Rehydration of chunked streams: a pseudonym may be split over chunks, so the end of the text so far is held back."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from ..operators.rehydrate import Rehydrator
+
+SCHEMA = "stream_id long, block_index int, seq long, text string"
+
+
+class Buffer:
+    """Text of one block: push() gives what is safe, flush() the rest. Joined, they are the rehydrated whole."""
+
+    def __init__(self, back: Rehydrator, held: str = "", floor: int = 64):
+        self.back, self.held = back, held
+        self.suffix = max(floor, 2 * back.longest + 50)
+
+    def push(self, chunk: str) -> str:
+        self.held += chunk
+        cut = len(self.held) - self.suffix
+        if cut <= 0 or self.back.pattern is None:
+            if self.back.pattern is None:
+                out, self.held = self.held, ""
+                return out
+            return ""
+        # Cut where no match and no word stands over the edge.
+        for m in self.back.pattern.finditer(self.held):
+            if m.start() < cut < m.end() + 1:
+                cut = m.start()
+                break
+        while cut > 0 and (self.held[cut - 1].isalnum() or self.held[cut - 1] == "_"):
+            cut -= 1
+        out, self.held = self.held[:cut], self.held[cut:]
+        return self.back(out) or ""
+
+    def flush(self) -> str:
+        out, self.held = self.held, ""
+        return self.back(out) or ""
+
+
+def rehydrate_batch(events: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """The batch twin: stream_id, block_index, seq, kind, text, is_end -> the same rows with rehydrated text.
+
+    Kinds text and thinking are rewritten, others pass raw; the rest of a block comes with its end row.
+    """
+    given = events.sparkSession.sparkContext.broadcast(Rehydrator(pairs))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        buffer, out = Buffer(given.value), []
+        rows = rows.sort_values("seq")
+        for r in rows.itertuples():
+            plain = r.kind not in ("text", "thinking")
+            text = (r.text or "") if plain else buffer.push(r.text or "")
+            if r.is_end:
+                text += buffer.flush()
+            out.append((r.stream_id, r.block_index, r.seq, text))
+        if out and buffer.held:
+            out[-1] = (*out[-1][:3], out[-1][3] + buffer.flush())
+        return pd.DataFrame(out, columns=["stream_id", "block_index", "seq", "text"])
+
+    return events.groupBy("stream_id", "block_index").applyInPandas(run, SCHEMA)
+
+
+def rehydrate_stream(events: DataFrame, pairs: dict[str, str], timeout_ms: int = 30_000) -> DataFrame:
+    """The same on a streaming DataFrame: one state string per block; a block without an end is flushed by timeout."""
+    given = events.sparkSession.sparkContext.broadcast(Rehydrator(pairs))
+
+    def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, last = state.get if state.exists else ("", -1)
+        buffer = Buffer(given.value, held)
+        if state.hasTimedOut:
+            state.remove()
+            if buffer.held:
+                yield pd.DataFrame([(key[0], key[1], last + 1, buffer.flush())], columns=["stream_id", "block_index", "seq", "text"])
+            return
+        out, ended = [], False
+        for r in pd.concat(list(parts)).sort_values("seq").itertuples():
+            text = (r.text or "") if r.kind not in ("text", "thinking") else buffer.push(r.text or "")
+            if r.is_end:
+                text, ended = text + buffer.flush(), True
+            out.append((r.stream_id, r.block_index, r.seq, text))
+            last = r.seq
+        if ended:
+            state.remove()
+        else:
+            state.update((buffer.held, int(last)))
+            state.setTimeoutDuration(timeout_ms)
+        yield pd.DataFrame(out, columns=["stream_id", "block_index", "seq", "text"])
+
+    return events.groupBy("stream_id", "block_index").applyInPandasWithState(run, SCHEMA, "held string, last long", "append", "ProcessingTimeTimeout")
+
+
+def parse_sse(text: str, max_left: int = 1 << 20) -> tuple[list[str], str]:
+    """Data of the whole events of an event stream, and what is left; a leftover beyond max_left is given as data."""
+    parts = text.replace("\r\n", "\n").split("\n\n")
+    events = ["\n".join(x[5:].removeprefix(" ") for x in p.split("\n") if x.startswith("data:")) for p in parts[:-1]]
+    left = parts[-1]
+    return ([*events, left], "") if len(left) > max_left else (events, left)
