@@ -5,6 +5,7 @@ Joins on the map are equi joins on the match's type and text; AQE broadcasts the
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,7 @@ def original_hash(original: Column, salt: str = "") -> Column:
 
 def build_map(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """original_hash, original, pseudonym, layer, type, sentinel. Secrets share the one-way marker."""
-    layers = found.groupBy("type", "match").agg(F.min("layer").alias("layer"))
-    numbered = allocate(found, id_col).join(layers, ["type", "match"])
+    numbered = allocate(found, id_col)
     fake = F.when(F.col("layer") == "secrets", F.lit(REDACTED)).otherwise(pseudonym(F.col("type"), F.col("n"), F.col("match")))
     return numbered.select(original_hash(F.col("match")).alias("original_hash"), F.col("match").alias("original"), fake.alias("pseudonym"), "layer", "type").withColumn("sentinel", F.col("pseudonym").isin(REDACTED, ANONYMIZED))
 
@@ -47,9 +47,13 @@ def collisions(session: DataFrame) -> DataFrame:
 
 
 def anonymise(docs: DataFrame, rules=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_anon, n_findings, replacements (type, offset, length, original, pseudonym)."""
+    """id, text_anon, n_findings, replacements (type, offset, length, original, pseudonym).
+
+    The kept findings, not the texts, are persisted: they are read for the map and for the rewrite.
+    """
     kept = with_hits(docs.select(id_col, text_col), rules, text_col).withColumn("kept", overlap_fold(F.col("hits"))).drop("hits")
-    found = kept.where("size(kept) > 0").select(id_col, F.explode("kept").alias("h")).select(id_col, "h.layer", "h.type", "h.offset", "h.length", "h.match")
+    found = kept.select(id_col, F.explode_outer("kept").alias("h")).where("h is not null").select(id_col, "h.layer", "h.type", "h.offset", "h.length", "h.match")
+    found = found.persist(StorageLevel.MEMORY_AND_DISK)
     session = build_map(found, id_col).select("type", F.col("original").alias("match"), "pseudonym")
     named = found.join(session, ["type", "match"]).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("offset", "length", "type", "match", "pseudonym"))).alias("replacements"))
     out = kept.drop("kept").join(named, id_col, "left")

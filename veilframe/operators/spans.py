@@ -32,7 +32,9 @@ def hits(text: Column, rule: Rule) -> Column:
     if rule.check:
         found = F.filter(found, lambda h: CHECKS[rule.check](h["match"]))
     found = F.filter(found, lambda h: h["length"] > 0)
-    return F.when(text.contains(rule.needs), found).otherwise(F.array().cast(HIT)) if rule.needs else found
+    tests = [t for t in (text.contains(rule.needs) if rule.needs else None, text.rlike(rule.gate) if rule.gate else None) if t is not None]
+    # Conditions are evaluated before the branch: most texts never run the pattern itself.
+    return F.when(tests[0] if len(tests) == 1 else tests[0] & tests[1], found).otherwise(F.array().cast(HIT)) if tests else found
 
 
 def literal_hits(text: Column, literal: str, kind: str) -> Column:
@@ -79,7 +81,8 @@ def merge_contained(primary: Column, secondary: Column) -> Column:
 def findings(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per finding: id, layer, type, ord, offset, length, match."""
     found = with_hits(docs.select(F.col(id_col), F.col(text_col)), rules, text_col)
-    return found.select(id_col, F.explode("hits").alias("h")).select(id_col, "h.layer", "h.type", F.col("h.ord").cast("long").alias("ord"), F.col("h.offset").cast("long").alias("offset"), F.col("h.length").cast("long").alias("length"), "h.match")
+    # The outer form and a filter behind it: the inner one would evaluate all patterns again in an inferred filter.
+    return found.select(id_col, F.explode_outer("hits").alias("h")).where("h is not null").select(id_col, "h.layer", "h.type", F.col("h.ord").cast("long").alias("ord"), F.col("h.offset").cast("long").alias("offset"), F.col("h.length").cast("long").alias("length"), "h.match")
 
 
 def interval_union(spans: DataFrame, key: str = "doc_id") -> DataFrame:

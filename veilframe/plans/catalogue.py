@@ -1,0 +1,512 @@
+"""Queries over the driver's tables, one per operator, and the SQL that DuckDB runs beside them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.detectors import RULES, SECRETS, Rule, by_type
+from ..operators import audit, code, jsonwalk, names, pseudonyms, rehydrate, reports, session, spans
+from ..streaming import rehydrate as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def keep(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return keep
+
+
+# ---- detectors: RE2 twins of the patterns ----
+
+_EDGE = {"(?<![A-Za-z0-9_])": r"\b", "(?![A-Za-z0-9_])": r"\b"}
+
+
+def _re2(rule: Rule) -> str:
+    """The same pattern with RE2's ASCII word edges; \\s as Java has it."""
+    p = rule.pattern
+    for a, b in _EDGE.items():
+        p = p.replace(a, b)
+    return p.replace(r"\s", r"[ \t\n\x0B\f\r]").replace("[^[ ", "[^ ") if r"[^\s" not in p else p.replace(r"[^\s", r"[^ \t\n\x0B\f\r").replace("'", "''")
+
+
+def _sql_hits(pattern: str, source: str = "documents", key: str = "doc_id", col: str = "text", group: int = 0) -> str:
+    """key, ord, offset, length, match of all matches; the gaps between them give the offsets."""
+    p = pattern.replace("'", "''") if "''" not in pattern else pattern
+    return f"""SELECT {key}, CAST(i - 1 AS BIGINT) AS ord,
+  CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i], lambda x: length(x))), 0) - length(m[i]) AS BIGINT) AS "offset",
+  CAST(length(m[i]) AS BIGINT) AS length, m[i] AS match
+FROM (SELECT {key}, regexp_split_to_array({col}, '{p}') g, regexp_extract_all({col}, '{p}') w, regexp_extract_all({col}, '{p}', {group}) m FROM {source}) s, unnest(range(1, len(m) + 1)) t(i)"""
+
+
+def _find(name: str, kind: str, where: str = "true", source: str = "documents", key: str = "doc_id", col: str = "text", pattern: str | None = None, which: int = 0):
+    rule = by_type(kind)[which]
+    sql = _sql_hits(pattern or _re2(rule), source, key, col, 1 if rule.value else 0)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spans.findings(table(spark, sf_dir, source), [rule], key, col).select(key, "ord", "offset", "length", "match")
+
+    query(f"SELECT * FROM ({sql}) WHERE {where}", name)(run)
+
+
+_find("find_email", "email")
+_find("find_ipv4", "ipv4", "match NOT IN ('127.0.0.1', '0.0.0.0', '255.255.255.255')")
+_find("find_ipv6", "ipv6", "match NOT IN ('::', '::1') AND NOT regexp_full_match(match, '[0-9A-Fa-f]{2}(:[0-9A-Fa-f]{2}){5}')")
+_find("find_mac", "mac")
+_find("find_iban", "iban")
+_find("find_jira", "ticket-jira")
+_find("find_tax_id", "tax-id")
+_find("find_social_insurance", "sozialversicherung")
+_find("find_id_card", "personalausweis")
+_find("find_birth_date", "date-of-birth")
+_find("find_hostname", "hostname-internal")
+_find("find_tech_version", "tech-version")
+_find("find_internal_url", "internal-url", source="pages", key="page_id", col="html")
+_find("find_email_pages", "email", source="pages", key="page_id", col="html")
+_find("find_token_secret", "generic-secret", pattern=r"""(?i)(?:password|passwd|pwd|secret|api_?key|token)["'']?[ \t\n\x0B\f\r]{0,10}[=:][ \t\n\x0B\f\r]{0,10}["'']([^"''\n]{6,})""")
+_find("find_aws_key", "aws-access-key")
+_find("find_jwt", "jwt")
+_find("find_github_token", "github-token")
+_find("find_ticket_hash", "ticket-hash")
+_find("find_phone_landline", "phone", which=1)
+
+_CARD = r"(?:^|[^0-9])([0-9]{4}[ \t\n\x0B\f\r.-]?[0-9]{4}[ \t\n\x0B\f\r.-]?[0-9]{4}[ \t\n\x0B\f\r.-]?[0-9]{1,7})(?:$|[^0-9])"
+_LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) ELSE CASE WHEN 2 * CAST(d[i] AS INT) > 9 THEN 2 * CAST(d[i] AS INT) - 9 ELSE 2 * CAST(d[i] AS INT) END END)) % 10 = 0"
+
+
+@query(f"""SELECT DISTINCT doc_id, match FROM (
+  SELECT doc_id, match, regexp_replace(match, '[^0-9]', '', 'g') d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_CARD}', 1)) AS match FROM documents)
+) WHERE length(d) BETWEEN 13 AND 19 AND {_LUHN}""")
+def find_card_luhn(spark, sf_dir):
+    return spans.findings(table(spark, sf_dir, "documents"), by_type("credit-card")).select("doc_id", "match").distinct()
+
+
+_PHONE = r"(?:^|[^0-9])((?:\+[0-9]{1,3}|00[0-9]{1,3}|01[5-7][0-9])[ \t\n\x0B\f\r/()-]*[0-9][0-9 \t\n\x0B\f\r/()-]{5,14}[0-9])(?:$|[^0-9])"
+
+
+@query(f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_PHONE}', 1)) AS match FROM documents")
+def find_phone_intl(spark, sf_dir):
+    return spans.findings(table(spark, sf_dir, "documents"), by_type("phone")[:1]).select("doc_id", "match").distinct()
+
+
+# ---- normalisation ----
+
+
+@query("SELECT doc_id, regexp_replace(text, '[\\p{Cf}\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}\\x{115F}\\x{1160}\\x{3164}\\x{FFA0}\\x{034F}]', '', 'g') AS text FROM documents")
+def norm_strip_format(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_format_chars(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, translate(text, '{''.join(T.CONFUSABLES)}', '{''.join(T.CONFUSABLES.values())}') AS text FROM documents")
+def norm_fold_confusables(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.fold_confusables(F.col("text")).alias("text"))
+
+
+@query()
+def norm_nfkc(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_for_detection(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, strlen(text) = length(text) AS is_ascii FROM documents")
+def ascii_partition(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.is_ascii(F.col("text")).alias("is_ascii"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss') AS text FROM documents WHERE lang = 'de'")
+def norm_asciify(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", T.asciify(F.col("text")).alias("text"))
+
+
+@query("SELECT page_id, regexp_replace(html, '[\\x00-\\x08\\x0A-\\x1F\\x7F]', '', 'g') AS html FROM pages")
+def norm_sanitize_tty(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.sanitize_tty(F.col("html")).alias("html"))
+
+
+@query("""SELECT p_partkey, CAST(len(parts) AS BIGINT) AS n_parts, array_to_string(parts, '|') AS parts FROM (SELECT p_partkey, list_filter(regexp_split_to_array(
+  regexp_replace(regexp_replace(p_name || 'Part' || 'HTTPCode', '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[ _-]+'), lambda x: x <> '') parts FROM part)""")
+def split_identifier(spark, sf_dir):
+    parts = T.split_identifier(F.concat("p_name", F.lit("PartHTTPCode")))
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(parts).cast("long").alias("n_parts"), F.array_join(parts, "|").alias("parts"))
+
+
+@query("SELECT page_id, regexp_matches(url, '^https?://[^/]*example\\.com/.*$') OR regexp_matches(url, '^.*/de/[^/]*$') AS matched FROM pages")
+def path_glob_match(spark, sf_dir):
+    globs = ["http://*example.com/**", "https://*example.com/**", "**/de/*"]
+    return table(spark, sf_dir, "pages").select("page_id", T.glob_match(F.col("url"), globs).alias("matched"))
+
+
+@query("SELECT s_suppkey, format('2001:0db8:0000:0000:0000:0000:0000:{:04x}', s_suppkey % 65536) AS address FROM supplier")
+def canonical_ipv6(spark, sf_dir):
+    short = F.concat(F.lit("2001:DB8::"), F.hex(F.col("s_suppkey") % 65536))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", T.canonical_ipv6(short).alias("address"))
+
+
+# ---- findings shared by the reports: e-mail, address and secret findings of the documents ----
+
+_MIX = [*by_type("email"), *by_type("ipv4"), *by_type("generic-secret")]
+_SECRET_SQL = r"""(?i)(?:password|passwd|pwd|secret|api_?key|token)["'']?[ \t\n\x0B\f\r]{0,10}[=:][ \t\n\x0B\f\r]{0,10}["'']([^"''\n]{6,})"""
+_F = f"""f AS (
+SELECT doc_id, 'identity' AS layer, 'email' AS type, "offset", length, match FROM ({_sql_hits(_re2(by_type("email")[0]))})
+UNION ALL SELECT doc_id, 'identity', 'ipv4', "offset", length, match FROM ({_sql_hits(_re2(by_type("ipv4")[0]))}) WHERE match NOT IN ('127.0.0.1', '0.0.0.0', '255.255.255.255')
+UNION ALL SELECT doc_id, 'secrets', 'generic-secret', "offset", length, match FROM ({_sql_hits(_SECRET_SQL, group=1)}))"""
+
+
+def mixed(spark, sf_dir) -> DataFrame:
+    return spans.findings(table(spark, sf_dir, "documents"), _MIX)
+
+
+@query(f"WITH {_F} SELECT layer, type, count(*) AS n FROM f GROUP BY layer, type")
+def scan_histogram(spark, sf_dir):
+    return reports.histogram(mixed(spark, sf_dir))
+
+
+@query(f"WITH {_F} SELECT doc_id, count(*) AS n, count(*) >= 100 AS hot FROM f GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 10")
+def scan_top_docs(spark, sf_dir):
+    return reports.top_documents(mixed(spark, sf_dir))
+
+
+@query(f"WITH {_F} SELECT match, count(*) AS n FROM f GROUP BY match ORDER BY n DESC, match LIMIT 10")
+def scan_top_values(spark, sf_dir):
+    return reports.top_values(mixed(spark, sf_dir), "match")
+
+
+@query(f"WITH {_F} SELECT (SELECT count(*) FROM documents) AS scanned, count(DISTINCT doc_id) AS with_findings, count(*) AS findings, count(DISTINCT type || '|' || match) AS originals FROM f")
+def scan_totals(spark, sf_dir):
+    return reports.totals(table(spark, sf_dir, "documents"), mixed(spark, sf_dir))
+
+
+@query(f"WITH {_F} SELECT count(*) FILTER (layer = 'secrets') AS secrets, count(*) FILTER (layer = 'config') AS config, count(*) FILTER (layer = 'identity') AS identity, count(*) FILTER (layer = 'code') AS code, count(*) AS total FROM f")
+def layer_stats(spark, sf_dir):
+    return reports.layer_stats(mixed(spark, sf_dir))
+
+
+@query(f"WITH {_F} SELECT '***REDACTED***' AS pseudonym, count(DISTINCT match) AS originals FROM f WHERE layer = 'secrets' HAVING count(*) > 0")
+def sentinel_fanout(spark, sf_dir):
+    return reports.sentinel_fanout(session.build_map(mixed(spark, sf_dir)))
+
+
+@query(f"WITH {_F} SELECT * FROM f WHERE type NOT IN ('email')")
+def type_disable(spark, sf_dir):
+    return reports.drop_types(mixed(spark, sf_dir), ["email"]).drop("ord")
+
+
+@query(f"WITH {_F}, g AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'ssn' WHEN doc_id % 3 = 1 THEN 'canadian-sin' ELSE type END AS kind FROM f) SELECT doc_id, kind AS type, \"offset\", match FROM g WHERE kind <> 'canadian-sin'")
+def preset_filter(spark, sf_dir):
+    kind = F.when(F.col("doc_id") % 3 == 0, "ssn").when(F.col("doc_id") % 3 == 1, "canadian-sin").otherwise(F.col("type"))
+    return reports.preset_filter(mixed(spark, sf_dir).withColumn("type", kind), "HIPAA").select("doc_id", "type", "offset", "match")
+
+
+_WIDE = f"""WITH {_F}, s AS (SELECT doc_id, "offset" - ("offset" % 40) AS s, "offset" + length AS e FROM f),
+m AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),
+p AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS part FROM m)"""
+
+
+@query(_WIDE + ' SELECT doc_id, min(s) AS start, max(e) AS "end" FROM p GROUP BY doc_id, part')
+def interval_union(spark, sf_dir):
+    wide = mixed(spark, sf_dir).selectExpr("doc_id", "offset - offset % 40 as offset", "length + offset % 40 as length")
+    return spans.interval_union(wide)
+
+
+_HOST = r"[a-zA-Z0-9.-]+\.(?:com|org|net)"
+
+
+@query(f"""WITH p AS (SELECT * FROM ({_sql_hits(_re2(by_type("email")[0]))})), q AS (SELECT * FROM ({_sql_hits(_HOST)}))
+SELECT doc_id, 'email' AS type, "offset", match FROM p UNION ALL
+SELECT doc_id, 'host', "offset", match FROM q WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = q.doc_id AND q."offset" >= p."offset" AND q."offset" + q.length <= p."offset" + p.length)""")
+def merge_containment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    both = docs.select("doc_id", spans.merge_contained(spans.hits(F.col("text"), by_type("email")[0]), spans.hits(F.col("text"), Rule("host", _HOST))).alias("h"))
+    return both.select("doc_id", F.explode("h").alias("h")).select("doc_id", "h.type", F.col("h.offset").cast("long").alias("offset"), "h.match")
+
+
+@query(f"""WITH p AS (SELECT * FROM ({_sql_hits(_re2(by_type("email")[0]))})), q AS (SELECT * FROM ({_sql_hits(_HOST)})),
+o AS (SELECT DISTINCT q.* FROM q, p WHERE p.doc_id = q.doc_id AND q."offset" < p."offset" + p.length AND p."offset" < q."offset" + q.length)
+SELECT doc_id, 'email' AS type, "offset", length FROM p UNION ALL SELECT doc_id, 'host', "offset", length FROM q WHERE (doc_id, "offset") NOT IN (SELECT doc_id, "offset" FROM o)""")
+def overlap_fold(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", spans.overlap_fold(F.concat(spans.hits(F.col("text"), Rule("host", _HOST)), spans.hits(F.col("text"), by_type("email")[0]))).alias("h"))
+    return found.select("doc_id", F.explode("h").alias("h")).select("doc_id", "h.type", F.col("h.offset").cast("long").alias("offset"), F.col("h.length").cast("long").alias("length"))
+
+
+# ---- pseudonyms and the session map ----
+
+_N = f"""{_F}, k AS (SELECT type, match, min(doc_id * 1000000000 - "offset") AS k FROM f GROUP BY type, match),
+n AS (SELECT type, match, row_number() OVER (PARTITION BY type ORDER BY k, match) AS n FROM k)"""
+_GREEK = "[" + ", ".join(f"'{g}'" for g in pseudonyms.GREEK) + "]"
+
+
+def _sql_greek(n: str) -> str:
+    return f"({_GREEK}[CAST(({n} - 1) % 20 + 1 AS INT)] || CASE WHEN ({n} - 1) // 20 = 0 THEN '' ELSE CAST(({n} - 1) // 20 + 1 AS VARCHAR) END)"
+
+
+_MAP = f"""{_N}, m AS (SELECT type, match, n, CASE type WHEN 'generic-secret' THEN '***REDACTED***'
+  WHEN 'ipv4' THEN '10.' || (n // 65536) % 256 || '.' || (n // 256) % 256 || '.' || n % 256
+  ELSE 'user' || n || '@company-' || lower({_sql_greek("n")}) || '.' || regexp_extract(match, '([^.]*)$', 1) END AS pseudonym FROM n)"""
+
+
+@query(f"WITH {_MAP} SELECT match, n, pseudonym FROM m WHERE type = 'email'")
+def pseudo_email(spark, sf_dir):
+    found = mixed(spark, sf_dir).where("type = 'email'")
+    return pseudonyms.allocate(found).select("match", "n", pseudonyms.email(F.col("n"), F.col("match")).alias("pseudonym"))
+
+
+@query(f"WITH {_MAP} SELECT match, n, pseudonym FROM m WHERE type = 'ipv4'")
+def pseudo_ipv4(spark, sf_dir):
+    found = mixed(spark, sf_dir).where("type = 'ipv4'")
+    return pseudonyms.allocate(found).select("match", "n", pseudonyms.ipv4(F.col("n")).alias("pseudonym"))
+
+
+@query(f"SELECT c_custkey, 'Person ' || {_sql_greek('c_custkey')} AS pseudonym FROM customer WHERE c_custkey > 0")
+def pseudo_person(spark, sf_dir):
+    return table(spark, sf_dir, "customer").where("c_custkey > 0").select("c_custkey", pseudonyms.shape("person", F.col("c_custkey"), F.col("c_name")).alias("pseudonym"))
+
+
+_PAD = lambda w, n="n": f"CASE WHEN length(CAST({n} AS VARCHAR)) >= {w} THEN CAST({n} AS VARCHAR) ELSE lpad(CAST({n} AS VARCHAR), {w}, '0') END"
+
+
+@query(f"""SELECT n, d9[1:3] || '-' || d9[4:5] || '-' || d9[6:] AS ssn, d10[1:2] || '/' || d10[3:5] || '/' || d10[6:] AS tax_id,
+  d11[1:3] || '.' || d11[4:6] || '.' || d11[7:9] || '-' || d11[10:] AS cpf, 'AAAAA' || {_PAD(4)} || 'Z' AS pan, 'DE00 0000 0000 0000 0000 ' || {_PAD(2)} AS iban,
+  lpad(CAST(n % 28 + 1 AS VARCHAR), 2, '0') || '.' || lpad(CAST((n // 28) % 12 + 1 AS VARCHAR), 2, '0') || '.' || (1900 + n // 336) AS dob,
+  format('02:{{:02x}}:{{:02x}}:{{:02x}}:{{:02x}}:{{:02x}}', (n // 4294967296) % 256, (n // 16777216) % 256, (n // 65536) % 256, (n // 256) % 256, n % 256) AS mac
+FROM (SELECT c_custkey AS n, {_PAD(9, "c_custkey")} d9, {_PAD(10, "c_custkey")} d10, {_PAD(11, "c_custkey")} d11 FROM customer WHERE c_custkey > 0)""")
+def pseudo_shapes(spark, sf_dir):
+    n, m = F.col("n"), F.lit("")
+    kinds = {"ssn": "ssn", "tax_id": "tax-id", "cpf": "brazilian-cpf", "pan": "indian-pan", "iban": "iban", "dob": "date-of-birth", "mac": "mac"}
+    rows = table(spark, sf_dir, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("n"))
+    return rows.select("n", *(pseudonyms.shape(k, n, m).alias(c) for c, k in kinds.items()))
+
+
+@query(f"WITH {_MAP} SELECT sha256(match) AS original_hash, pseudonym, type, type = 'generic-secret' AS sentinel FROM m")
+def session_map(spark, sf_dir):
+    return session.build_map(mixed(spark, sf_dir)).select("original_hash", "pseudonym", "type", "sentinel")
+
+
+@query(f"WITH {_MAP} SELECT pseudonym, count(DISTINCT match) AS originals FROM m WHERE type <> 'generic-secret' GROUP BY pseudonym HAVING count(DISTINCT match) > 1")
+def session_collisions(spark, sf_dir):
+    return session.collisions(session.build_map(mixed(spark, sf_dir)))
+
+
+@query(f"WITH {_MAP} SELECT sha256(match) AS original_hash, match AS original, pseudonym FROM m")
+def session_key_rotation(spark, sf_dir):
+    old, new = "00" * 31 + "01", "ff" * 32
+    rotated = session.rotate(session.encrypt(session.build_map(mixed(spark, sf_dir)), old), old, new)
+    return session.decrypt(rotated, new).select("original_hash", "original", "pseudonym")
+
+
+@query(f"WITH {_F}, c AS (SELECT sha256(match) AS h, doc_id FROM f) SELECT h AS original_hash, count(*) AS uses FROM c GROUP BY h")
+def session_lookup(spark, sf_dir):
+    found = mixed(spark, sf_dir).withColumn("original_hash", session.original_hash(F.col("match")))
+    known = session.build_map(mixed(spark, sf_dir)).select("original_hash").distinct()
+    return found.join(known, "original_hash").groupBy("original_hash").agg(F.count("*").alias("uses"))
+
+
+@query(f"SELECT doc_id, regexp_replace(text, '{_re2(by_type('email')[0])}', '***REDACTED***', 'g') AS text FROM documents")
+def redact_email_text(spark, sf_dir):
+    found = F.col("found")
+    docs = table(spark, sf_dir, "documents").withColumn("found", spans.hits(F.col("text"), by_type("email")[0]))
+    return docs.select("doc_id", spans.replace_spans(F.col("text"), found, lambda h: F.lit(pseudonyms.REDACTED)).alias("text"))
+
+
+def anonymise_full(spark, sf_dir):
+    """The flagship: all layers' spans, one fold, one allocation, one rewrite."""
+    return session.anonymise(table(spark, sf_dir, "documents")).select("doc_id", "text_anon", "n_findings")
+
+
+query()(anonymise_full)
+
+
+@query("SELECT doc_id, text FROM documents")
+def rehydrate_roundtrip(spark, sf_dir):
+    return session.rehydrate_own(session.anonymise(table(spark, sf_dir, "documents"))).select("doc_id", "text")
+
+
+_EMAIL_RULES = by_type("email")
+
+
+@query("SELECT conv_id, turn, text FROM conversations")
+def rehydrate_by_map(spark, sf_dir):
+    """E-mail addresses of the conversations pseudonymised, then restored from the map alone."""
+    turns = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") * 100_000 + F.col("turn"))
+    done = session.anonymise(turns, _EMAIL_RULES)
+    pairs = rehydrate.pairs_of(session.build_map(spans.findings(turns, _EMAIL_RULES)))
+    back = rehydrate.rehydrate(done.select("doc_id", F.col("text_anon").alias("text")), pairs)
+    return back.select(F.floor(F.col("doc_id") / 100_000).alias("conv_id"), (F.col("doc_id") % 100_000).alias("turn"), "text")
+
+
+# ---- audit: events are the log, their users the files ----
+
+_LINE = "'{\"event\":' || event_id || ',\"type\":\"' || event_type || '\"}'"
+_SEQ = f"s AS (SELECT user_id AS file, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id, ts, event_type, {_LINE} AS base FROM events)"
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    base = F.concat(F.lit('{"event":'), F.col("event_id").cast("string"), F.lit(',"type":"'), "event_type", F.lit('"}'))
+    own = F.expr("row_number() over (partition by user_id order by ts, event_id) - 1").cast("long")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), own.alias("seq"), "event_id", "ts", "event_type", base.alias("base"))
+
+
+@query(f"""WITH {_F} SELECT doc_id AS file, row_number() OVER (PARTITION BY doc_id ORDER BY "offset", type) - 1 AS seq, layer, type, substr(sha256(match), 1, 32) AS original_hash, type || '@' || "offset" || ':' || length AS context FROM f""")
+def audit_entries(spark, sf_dir):
+    return audit.entries(mixed(spark, sf_dir).withColumn("file", F.col("doc_id")), ["offset", "type"])
+
+
+@query("SELECT event_id, ts, event_type AS type FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-02-05 23:59:59.999' AND event_type = 'click'")
+def audit_query_range(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select("event_id", "ts", F.lit("identity").alias("layer"), F.col("event_type").alias("type"))
+    start, end = F.to_timestamp(F.lit("2024-01-05")), F.to_timestamp(F.lit("2024-02-05 23:59:59.999"))
+    return log.where((F.col("ts") >= start) & (F.col("ts") <= end) & (F.col("type") == "click")).select("event_id", "ts", "type")
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+def audit_tail(spark, sf_dir):
+    return audit.tail(table(spark, sf_dir, "events").select("event_id", "ts"), 20, ("ts", "event_id"))
+
+
+@query(f"""WITH {_SEQ}, l AS (SELECT file, seq, list(base) OVER (PARTITION BY file ORDER BY seq ROWS UNBOUNDED PRECEDING) AS b, base FROM s)
+SELECT file, seq, base, CASE WHEN seq = 0 THEN '' ELSE list_reduce(list_prepend('', b[1:len(b) - 1]), lambda p, x: sha256(p || x)) END AS prev_hash FROM l""")
+def audit_chain(spark, sf_dir):
+    return audit.chain(_lines(spark, sf_dir))
+
+
+def _tampered(spark, sf_dir) -> DataFrame:
+    """A line of each 50th or so is edited, one of each 70th is missing."""
+    lines = audit.chain(_lines(spark, sf_dir)).withColumn("line", F.col("seq"))
+    key = (F.col("file") * 31 + F.col("seq")) % 997
+    return lines.withColumn("base", F.when(key == 5, F.concat("base", F.lit(" "))).otherwise(F.col("base"))).where(key != 17)
+
+
+@query(f"""WITH {_SEQ}, k AS (SELECT file, seq, (file * 31 + seq) % 997 AS key FROM s), kept AS (SELECT *, lag(seq) OVER (PARTITION BY file ORDER BY seq) AS before, lag(key) OVER (PARTITION BY file ORDER BY seq) AS edited FROM k WHERE key <> 17)
+SELECT file, count(*) AS lines, min(CASE WHEN seq <> coalesce(before + 1, 0) THEN coalesce(before + 1, 0) WHEN edited = 5 THEN seq END) AS first_bad_seq FROM kept GROUP BY file""")
+def audit_chain_verify(spark, sf_dir):
+    return audit.verify_chain(_tampered(spark, sf_dir))
+
+
+_KEY = b"a key for tests"
+_PADDED = _KEY.ljust(64, b"\0")
+_IPAD, _OPAD = (bytes(b ^ x for b in _PADDED).hex() for x in (0x36, 0x5C))
+
+
+@query(f"WITH {_SEQ} SELECT file, seq, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(base)))) AS mac FROM s")
+def audit_hmac(spark, sf_dir):
+    return _lines(spark, sf_dir).select("file", "seq", audit.mac(F.col("base"), _KEY).alias("mac"))
+
+
+@query(f"WITH {_SEQ} SELECT file, seq, CASE WHEN event_id % 101 = 3 THEN 'missing' WHEN event_id % 101 = 7 THEN 'mismatch' WHEN event_id % 101 = 9 THEN 'unknown-key' ELSE 'ok' END AS reason FROM s")
+def audit_hmac_verify(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    k = F.col("event_id") % 101
+    side = lines.where(k != 3).select("file", "seq", F.when(k == 9, "old").otherwise("k1").alias("kid"), F.when(k == 7, "0").otherwise(audit.mac(F.col("base"), _KEY)).alias("mac"))
+    return audit.verify_macs(lines, side, {"k1": _KEY})
+
+
+@query(f"""WITH {_F}, e AS (SELECT doc_id AS file, row_number() OVER (PARTITION BY doc_id ORDER BY "offset", type) - 1 AS seq, type, substr(sha256(match), 1, 32) AS h FROM f),
+d AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY file, seq, type) AS r FROM e) SELECT h AS original_hash, file, seq, type FROM d WHERE r = 1 AND h NOT IN (SELECT h FROM e WHERE file % 2 = 0)""")
+def audit_pending(spark, sf_dir):
+    log = audit.entries(mixed(spark, sf_dir).withColumn("file", F.col("doc_id")), ["offset", "type"])
+    return audit.pending(log, log.where("file % 2 = 0"))
+
+
+@query(f"WITH {_SEQ}, m AS (SELECT file, max(seq) AS max_seq FROM s GROUP BY file) SELECT file, max_seq - 1 AS last_seq, max_seq FROM m WHERE file % 2 = 0")
+def audit_high_water(spark, sf_dir):
+    marks = _lines(spark, sf_dir).groupBy("file").agg(F.max("seq").alias("max_seq"))
+    checks = marks.select("file", F.when(F.col("file") % 2 == 0, F.col("max_seq") - 1).otherwise(F.col("max_seq")).alias("last_seq"))
+    return audit.high_water(checks, marks)
+
+
+@query("SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events")
+def latency_percentiles(spark, sf_dir):
+    return reports.nearest_rank(table(spark, sf_dir, "events"), "value")
+
+
+# ---- JSON, chat, headers ----
+
+
+@query(f"SELECT conv_id, turn, regexp_replace(text, '{_re2(by_type('email')[0])}', '***REDACTED***', 'g') AS text FROM conversations WHERE role = 'user'")
+def chat_user_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("found", spans.hits(F.col("text"), by_type("email")[0]))
+    return turns.select("conv_id", "turn", spans.replace_spans(F.col("text"), F.col("found"), lambda h: F.lit(pseudonyms.REDACTED)).alias("text"))
+
+
+@query("SELECT conv_id, CASE WHEN bool_or(turn = 0 AND role = 'system') THEN 'openai' ELSE 'unknown' END AS format FROM conversations GROUP BY conv_id")
+def api_format_detect(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("turn = 0 or role != 'system'")
+    body = turns.groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(F.struct("role")).alias("messages"))).alias("body"))
+    return body.select("conv_id", jsonwalk.api_format(F.lit("/chat"), F.col("body")).alias("format"))
+
+
+@query()
+def json_leaf_rewrite(spark, sf_dir):
+    return jsonwalk.rewrite_json(table(spark, sf_dir, "events").select("event_id", "props"), "props", str.upper)
+
+
+@query("SELECT c_custkey, '[\"keep\"]' AS accept, '[\"X-' || c_custkey || '\"]' AS custom FROM customer")
+def header_rules(spark, sf_dir):
+    headers = F.create_map(F.lit("Accept"), F.array(F.lit("keep")), F.lit("X-Custom"), F.array(F.concat(F.lit("x-"), F.col("c_custkey").cast("string"))))
+    out = table(spark, sf_dir, "customer").select("c_custkey", jsonwalk.anonymise_headers(headers, F.upper).alias("h"))
+    return out.select("c_custkey", F.to_json(F.col("h")["Accept"]).alias("accept"), F.to_json(F.col("h")["X-Custom"]).alias("custom"))
+
+
+# ---- names and code: the tables have no names and no code, so a few literal cases go with them ----
+
+names_cases = ["Frau Dr. Anna Müller und Herr Weber", "approved by Peter Schneider.", "call getAnnaMueller() now", "王小明 and Дмитрий came", "Person Alpha is no name"]
+code_cases = ["class OrderService {\n  submit(order) { const total = price(order); return total }\n}", "function chargeCard(x) { let amount = x }"]
+
+
+def _with_cases(docs: DataFrame, cases: list[str]) -> DataFrame:
+    more = docs.sparkSession.createDataFrame([(-1 - i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    return docs.select("doc_id", "text").unionByName(more)
+
+
+@query()
+def ner_names(spark, sf_dir):
+    return names.detect_names(_with_cases(table(spark, sf_dir, "documents"), names_cases))
+
+
+@query()
+def ner_other_scripts(spark, sf_dir):
+    return names.other_scripts(_with_cases(table(spark, sf_dir, "documents"), names_cases))
+
+
+@query(r"SELECT DISTINCT unnest(regexp_extract_all(html, '\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b')) AS identifier FROM pages ORDER BY identifier LIMIT 500")
+def scan_identifiers(spark, sf_dir):
+    return code.scan_identifiers(table(spark, sf_dir, "pages"), "html")
+
+
+@query("""SELECT DISTINCT term FROM (SELECT lower(unnest(regexp_split_to_array(regexp_replace(p_name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[ _-]+'))) AS term FROM part)
+WHERE length(term) >= 3 AND term NOT IN (SELECT lower(n_name) FROM nation) AND term NOT IN ('part', 'green')""")
+def glossary_suggest(spark, sf_dir):
+    known = table(spark, sf_dir, "nation").select(F.col("n_name").alias("term")).unionByName(spark.sql("select explode(array('part', 'green')) as term"))
+    return code.suggest_terms(table(spark, sf_dir, "part").select(F.col("p_name").alias("identifier")), known)
+
+
+@query()
+def code_identifiers(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return code.extract_identifiers(_with_cases(pages, code_cases).withColumn("language", F.lit("javascript")))
+
+
+@query("SELECT conv_id AS stream_id, string_agg(text, '' ORDER BY turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def stream_rehydrate(spark, sf_dir):
+    """Assistant turns pseudonymised, cut into chunks of 7 characters, rehydrated with held suffixes, joined again."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").withColumn("doc_id", F.col("conv_id") * 100_000 + F.col("turn"))
+    done = session.anonymise(turns, _EMAIL_RULES).select("doc_id", "text_anon")
+    pairs = rehydrate.pairs_of(session.build_map(spans.findings(turns, _EMAIL_RULES)))
+    chunk = F.regexp_extract_all("text_anon", F.lit("(?s).{1,7}"), F.lit(0))
+    cut = done.select("doc_id", F.posexplode(chunk).alias("i", "text"))
+    events = cut.select(F.floor(F.col("doc_id") / 100_000).alias("stream_id"), F.lit(0).alias("block_index"), (F.col("doc_id") % 100_000 * 1_000_000 + F.col("i")).alias("seq"), F.lit("text").alias("kind"), "text", F.lit(False).alias("is_end"))
+    back = stream.rehydrate_batch(events, pairs)
+    joined = back.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("l"))
+    return joined.select("stream_id", F.array_join(F.transform("l", lambda x: x["text"]), "").alias("text"))
