@@ -104,17 +104,23 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes. The bytes between words must be white space."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    first, last = starts[0], ends[-1]
-    part = buf[first:last]
-    seg = starts - first
-    lens = np.diff(np.r_[seg, last - first])
-    inside = np.arange(len(part), dtype=np.int64) - np.repeat(seg, lens)
-    vals = _BYTE[part] * _powers(int(lens.max()))[inside]
-    return mix(np.add.reduceat(vals, seg) + (ends - starts).astype(np.uint64) * _MULT)
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each word's bytes. The bytes between words must be white space.
+
+    Works on `piece` words at a time: the arrays over bytes stay small for texts of any length.
+    """
+    out = np.empty(len(starts), np.uint64)
+    for i in range(0, len(starts), piece):
+        begin, end = starts[i : i + piece], ends[i : i + piece]
+        part = buf[begin[0] : end[-1]]
+        seg = begin - begin[0]
+        lens = np.diff(np.r_[seg, len(part)])
+        inside = np.arange(len(part), dtype=np.int64)
+        inside -= np.repeat(seg, lens)
+        vals = _powers(int(lens.max()))[inside]
+        vals *= _BYTE[part]
+        out[i : i + piece] = mix(np.add.reduceat(vals, seg) + (end - begin).astype(np.uint64) * _MULT)
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

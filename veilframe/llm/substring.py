@@ -90,7 +90,7 @@ def _pack(arrays: dict[str, np.ndarray], text: bytes) -> bytes:
     import zstandard as zstd
 
     parts = [a.astype(np.int64).tobytes() for a in arrays.values()]
-    return zstd.ZstdCompressor(level=1).compress(len(parts[0]).to_bytes(8, "little") + b"".join(parts) + text)
+    return zstd.ZstdCompressor(level=3).compress(len(parts[0]).to_bytes(8, "little") + b"".join(parts) + text)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, bytes]:
@@ -206,7 +206,7 @@ def _bucket(window: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 3, bucket_bytes: int = 12 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 20, gram: int = 3, bucket_bytes: int = 6 << 20, block_bytes: int = 1 << 20) -> DataFrame:
     """Spans of word positions (first to last, both included) that later copies of windows cover, by (doc_id, row_key).
 
     docs: doc_id (not null), row_key, text as binary (not null). The number of buckets follows the bytes of text.
