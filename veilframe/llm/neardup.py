@@ -1,15 +1,17 @@
 """b-bit MinHash near-duplicates: packed low bits of the minima, band candidates, exact confirmation, components.
 
 1. Sign: words are hashed, shingles are hashed words in a row, and n_hashes minima are taken over the distinct
-   shingles. Bands of `rows` minima are hashed to band keys; of every minimum, `bits` low bits are packed into longs.
+   shingles. n_bands bands of `rows` minima are hashed to band keys; of every minimum, `bits` low bits are packed into longs.
 2. Collapse: equal shingle sets (equal digests, so equal texts too) are one class, whose least doc_id stands for it.
 3. Candidates: classes that share a band key. Copies in a band are never expanded into all pairs: in each round every
-   band has one pivot, and the other classes of the band that are not yet in the pivot's component pair with it.
+   band has one pivot (the first round: its least id) or `pivots` of them, and the other classes of the band that are not
+   yet in a pivot's component pair with it.
    Pairs whose collision-corrected estimate is far below the threshold are dropped.
 4. Confirm: links are decided on the full shingle sets. Confirmed links merge components; bands whose classes are all in
    one component are done.
-5. The rest: when few pairs remain between components of a band, all those not yet compared are confirmed, so the
-   components are those of the whole candidate graph.
+5. The rest: when at most rest_factor pairs per row remain between components of a band (further rounds of pivots bring
+   them down to it), all likely ones not yet compared are confirmed, so the components are those of the whole candidate
+   graph.
 
 Rows: null or wordless text has no shingles, is linked with nothing and is its own component. Rows that share a doc_id
 are one document: their links unite. A row with a null doc_id is linked with nothing and stays (component null).
@@ -49,16 +51,16 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-def sign(docs: DataFrame, k: int, n_hashes: int, rows: int, bits: int, id_col: str, text_col: str) -> DataFrame:
+def sign(docs: DataFrame, k: int, n_hashes: int, n_bands: int, rows: int, bits: int, id_col: str, text_col: str) -> DataFrame:
     rng = np.random.default_rng(7)
     xors = rng.integers(0, 2**63, n_hashes, dtype=np.uint64)
     mults = rng.integers(0, 2**62, n_hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    n_bands, per_long = n_hashes // rows, 64 // bits
+    per_long = 64 // bits
 
     def run(batches):
         import hashlib
 
-        for part in slices(batches, rows=512):
+        for part in slices(batches, rows=192):
             sets = shingle_sets([t or b"" for t in part.column(1).to_pylist()], k)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(sizes)
@@ -95,11 +97,17 @@ def sign(docs: DataFrame, k: int, n_hashes: int, rows: int, bits: int, id_col: s
 
 def estimate(a: str, b: str, n_hashes: int, bits: int) -> Column:
     """Similarity from packed minima: differing places by bit counts, corrected for chance agreement of low bits."""
-    fold = "|".join(f"shiftrightunsigned(x, {s})" if s else "x" for s in range(bits))
-    mask = int.from_bytes(np.full(64 // bits, 1, np.uint64).dot(np.uint64(1) << (np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits))).tobytes(), "little", signed=True)
-    differ = f"aggregate(zip_with({a}, {b}, (p, q) -> p ^ q), 0L, (s, x) -> s + bit_count(({fold}) & {mask}L))"
+    mask = sum(1 << (i * bits) for i in range(64 // bits))
+    mask -= (mask >> 63) << 64
+
+    def differing(i: int) -> str:
+        x = f"({a}[{i}] ^ {b}[{i}])"
+        folded = " | ".join(f"shiftrightunsigned({x}, {s})" if s else x for s in range(bits))
+        return f"bit_count(({folded}) & {mask}L)"
+
+    differ = " + ".join(differing(i) for i in range(n_hashes * bits // 64))
     chance = 2.0**-bits
-    return F.expr(f"(1 - {differ} / {n_hashes}D - {chance}D) / {1 - chance}D")
+    return F.expr(f"(1 - ({differ}) / {n_hashes}D - {chance}D) / {1 - chance}D")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -159,16 +167,23 @@ def near_duplicates(
     docs: DataFrame,
     k: int = 5,
     percent: int = 80,
-    n_hashes: int = 128,
+    n_hashes: int = 512,
+    n_bands: int = 32,
     rows: int = 4,
     bits: int = 4,
-    slack: float = 0.2,
+    slack: float = 0.075,
+    rest_factor: int = 256,
+    pivots: int = 8,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row. A pair at the threshold shares no band once in 2e7."""
+    """doc_id, n_shingles, component_id, kept for every row.
+
+    A pair at the threshold shares no band once in 2e7; its estimate is `slack` (over four standard deviations) too low
+    once in 4e4, and less often the more alike the texts are.
+    """
     scratch = Scratch(docs.sparkSession, "neardup")
-    signed = scratch.table(sign(docs, k, n_hashes, rows, bits, id_col, text_col), "signed")
+    signed = scratch.table(sign(docs, k, n_hashes, n_bands, rows, bits, id_col, text_col), "signed")
     known = signed.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.table(known.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig", "m.bands"), "classes")
     # Rows of one doc_id with several texts: their classes are one node.
@@ -176,10 +191,10 @@ def near_duplicates(
     same_id = repeated.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
     same_id = same_id.unionByName(repeated.where("doc_id != rep").join(repeated.select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_anti").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
 
-    band = classes.select("rep", F.posexplode("bands").alias("i", "v")).select(F.xxhash64("i", "v").alias("band"), "rep")
+    band = classes.select("rep", F.posexplode("bands").alias("i", "v")).select(F.xxhash64("i", "v").alias("band"), "i", "rep")
     shared = band.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("band")
     band = scratch.table(band.join(shared, "band").distinct(), "band")
-    signs = scratch.table(classes.join(band.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("sig", "n_shingles", "key")).alias("m")).select("rep", "m.sig", "m.n_shingles", "m.key"), "signs")
+    signs = scratch.table(classes.join(band.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("sig", "n_shingles", "bands")).alias("m")).select("rep", "m.sig", "m.n_shingles", F.transform("m.bands", lambda v: F.shiftrightunsigned(v, 33).cast("int")).alias("bands")), "signs")
     wanted = signs.select(F.col("rep").alias("w"))
     # All rows of one representative have its id; where one id has several texts, any of its own texts may stand for it.
     plain = docs.select(F.col(id_col).cast("long").alias("w"), F.col(text_col).cast("string").cast("binary").alias("t")).where("w is not null and t is not null")
@@ -190,32 +205,38 @@ def near_duplicates(
     tested, turn = None, 0
     while True:
         turn += 1
-        labelled = band.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-        mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), "rep", "comp")).alias("pivot"))
-        mixed = scratch.table(mixed.where("lo != hi").select("band", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.comp").alias("pcomp")), f"mixed-{turn}")
+        order = lambda n, t=turn: F.xxhash64("rep", F.lit(t), F.lit(n)) if t > 1 else F.col("rep")
+        labelled = band.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "i", "rep", F.coalesce("comp", "rep").alias("comp"))
+        mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.array_distinct(F.array(*[F.min(F.struct(order(n).alias("o"), "rep", "comp")) for n in range(pivots if turn > 1 else 1)])).alias("pivots"))
+        mixed = scratch.table(mixed.where("lo != hi").select("band", "n", F.transform("pivots", lambda p: F.struct(p["rep"].alias("rep"), p["comp"].alias("comp"))).alias("pivots")), f"mixed-{turn}")
         todo = scratch.table(labelled.join(mixed, "band"), f"todo-{turn}")
         per_comp = todo.groupBy("band", "comp").count()
         sums = per_comp.groupBy("band").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
         left = sums.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("rows")).first()
         if not left.rows:
             break
-        last = left.pairs <= 2 * left.rows
+        last = turn > 2 and left.pairs <= rest_factor * left.rows
+        a = signs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
+        b = signs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
+        near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (estimate("sa", "sb", n_hashes, bits) >= percent / 100 - slack)
         if last:
-            x, y = todo.alias("x"), todo.alias("y")
-            pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+            # The estimate is part of the join, so only likely pairs come out of it.
+            # A pair comes out of the first band that it shares only (bands compared by 31 bits).
+            heads = lambda side: signs.select(F.col("rep").alias(side), F.col("bands").alias(f"b{side}"))
+            x = todo.select("band", "i", "comp", F.col("rep").alias("a")).join(a, "a").join(heads("a"), "a")
+            y = todo.select("band", F.col("comp").alias("other"), F.col("rep").alias("b")).join(b, "b").join(heads("b"), "b")
+            earlier = F.exists(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda j: (j < F.col("i")) & (F.get("ba", j) == F.get("bb", j)))
+            likely = x.join(y, (x.band == y.band) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("other")) & near & ~earlier).select("a", "b").distinct()
         else:
-            pairs = todo.where("comp != pcomp").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-        pairs = pairs.distinct()
+            each = todo.select("rep", "comp", F.explode("pivots").alias("p")).where("comp != p.comp")
+            pairs = each.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+            likely = pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, f"pairs-{turn}")
-        a = signs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
-        b = signs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
-        likely = pairs.join(a, "a").join(b, "b").where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)"))
-        likely = likely.where(estimate("sa", "sb", n_hashes, bits) >= percent / 100 - slack).select("a", "b")
+            likely = likely.join(tested, ["a", "b"], "left_anti")
+        likely = scratch.table(likely, f"pairs-{turn}")
         found = scratch.table(_confirm(likely, texts, k, percent), f"links-{turn}")
         links = links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        tested = likely if tested is None else tested.unionByName(likely)
         comps = components(links, scratch, f"comp{turn}")
         scratch.drop(f"todo-{turn}", f"mixed-{turn}")
         if last:
