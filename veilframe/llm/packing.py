@@ -16,6 +16,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +35,7 @@ class Encoder:
     The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its words.
     """
 
-    def __init__(self, path: str, max_entries: int = 600_000):
+    def __init__(self, path: str, max_entries: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -63,15 +64,12 @@ class Encoder:
         if stems:
             order = sorted(stems)
             got = self.tokenizer.encode(" ".join(order), add_special_tokens=False)
-            groups: list[list[int]] = [[] for _ in order]
-            ids, words = got.ids, got.word_ids
-            if not words or words[-1] != len(order) - 1:
-                groups = [self.tokenizer.encode(s, add_special_tokens=False).ids for s in order]
+            raw, words = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids, np.int64)
+            edges = (4 * np.r_[0, np.cumsum(np.bincount(words, minlength=len(order)))]).tolist()
+            if len(edges) == len(order) + 1:
+                self.parts.update(zip(order, [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], strict=True))
             else:
-                for i, w in zip(ids, words, strict=True):
-                    groups[w].append(i)
-            for s, g in zip(order, groups, strict=True):
-                self.parts[s] = b"".join([i.to_bytes(4, "little") for i in g])
+                self.parts.update((s, self._whole(s)) for s in order)
         for w, stem, tail in plain:
             self.words[w] = self.parts[stem] + (self.parts[tail] if tail else b"")
         for w in odd:
