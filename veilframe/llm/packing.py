@@ -25,6 +25,10 @@ from .common import read, slices
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: A word of Latin letters with ASCII marks behind it (no apostrophe): the tokenizer cuts it just there.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Texts without apostrophes, of Latin letters, ASCII digits, marks and white space: the tokenizer's own cuts are these.
+_SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9\t\n\x0b\x0c\r !-&(-/:-@\[-`{-~]*")
+_CUT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_SPECIAL = "<|"
 #: White space for Python's split() that isn't for the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -61,6 +65,13 @@ class Encoder:
                     stems.add(tail)
             else:
                 odd.append(w)
+        self._learn_parts(stems)
+        for w, stem, tail in plain:
+            self.words[w] = self.parts[stem] + (self.parts[tail] if tail else b"")
+        for w in odd:
+            self.words[w] = self._whole(w)
+
+    def _learn_parts(self, stems: set[str]) -> None:
         if stems:
             order = sorted(stems)
             got = self.tokenizer.encode(" ".join(order), add_special_tokens=False)
@@ -70,16 +81,21 @@ class Encoder:
                 self.parts.update(zip(order, [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], strict=True))
             else:
                 self.parts.update((s, self._whole(s)) for s in order)
-        for w, stem, tail in plain:
-            self.words[w] = self.parts[stem] + (self.parts[tail] if tail else b"")
-        for w in odd:
-            self.words[w] = self._whole(w)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > self.max_entries:
             self.words.clear()
         if len(self.parts) > self.max_entries:
             self.parts.clear()
+        # Simple texts are cut as a whole, and only their pieces are looked up.
+        pieces = [_CUT.findall(t.lower()) if _SPECIAL not in t and _SIMPLE.fullmatch(t) else None for t in texts]
+        self._learn_parts({p for ps in pieces if ps for p in ps if p not in self.parts})
+        get = self.parts.__getitem__
+        done = [None if ps is None else b"".join(map(get, ps)) for ps in pieces]
+        rest = iter(self._encode_words([t for t, d in zip(texts, done, strict=True) if d is None]))
+        return [next(rest) if d is None else d for d in done]
+
+    def _encode_words(self, texts: list[str]) -> list[bytes]:
         split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
         known = self.words
         missing = {w for ws in split if ws for w in ws if w not in known}
