@@ -86,7 +86,7 @@ def find_names(text: str) -> list[tuple[int, int, str, float]]:
     for m in _IDENT.finditer(text):
         parts = [p for p in re.split(r"[_-]|(?<=[a-z0-9])(?=[A-Z])", m[0]) if p]
         pairs = zip(parts, parts[1:], strict=False)
-        if any(not {a.lower(), b.lower()} & NOUNS and (is_first(a) and b.lower() in LAST or a.lower() in LAST and is_first(b)) for a, b in pairs):
+        if any(not {a.lower(), b.lower()} & NOUNS and (is_first(a) and {b.lower(), _plain(b)} & LAST or {a.lower(), _plain(a)} & LAST and is_first(b)) for a, b in pairs):
             add(m.start(), m[0], 0.75)
     return sorted(out)
 
