@@ -65,5 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Compression, MinHash and BPE are beyond SQL; tests/llm holds run() against a brute-force version.
+#: Compression, MinHash and BPE are beyond SQL. tests/llm checks the columns and counts of each stage, and each operator by brute force.
 ORACLE_SQL = None
