@@ -2,8 +2,8 @@
 
 1. Digests: of rows with equal payloads of at least min_revisit bytes, the one with the least page_id is a response, the
    others revisit it. Only (page_id, digest) rows are shuffled for this; groups of copies are summed up before it.
-2. Range sort: shards are ranges of page_id with near equal payload bytes. Their bounds come from exact histograms of
-   4,096 ranges, narrowed where one range has too much, so they depend on the rows alone. Inside a shard, records are
+2. Range sort: shards are ranges of page_id with near equal payload bytes. Their bounds come from exact histograms, narrowed
+   where a range has too much (one job a round for all of them), so they depend on the rows alone. Inside a shard, records are
    sorted by (page_id, digest, url).
 3. Files: every task writes its shards record by record as gzip members, and begins a new file when the compressed size
    is reached. Headers, record ids and digests are made anew from the row, so equal input gives equal files.
@@ -20,11 +20,13 @@ executors (any filesystem that pyarrow.fs knows).
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import json
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,25 +50,28 @@ def digests(pages: DataFrame, min_revisit: int = 100, id_col: str = "page_id", u
     return rows.join(links, ["page_id", "digest"], "left").drop("can")
 
 
-def range_shards(rows: DataFrame, weight: Column, target: int, key: str = "page_id", bins: int = 4096) -> list[int]:
-    """Lower bounds of the shards after the first: keys, ascending. One key never spans shards."""
-    ends = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+def range_shards(rows: DataFrame, weight: Column, target: int, key: str = "page_id", bins: int = 4096, max_shards: int = 65536) -> list[int]:
+    """Lower bounds of the shards after the first: keys, ascending. One key never spans shards.
+
+    Every round counts all ranges that are still too heavy in one job. The target is raised where it would make more
+    than about max_shards shards, so what the driver holds has a bound at any size.
+    """
+    narrow = rows.select(F.col(key).cast("long").alias("key"), weight.cast("long").alias("w"))
+    ends = narrow.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("w").alias("w")).first()
     if ends.lo is None:
         return []
-    todo, found = [(ends.lo, ends.hi + 1)], []
+    target = max(target, -(-ends.w // max_shards))
+    todo, found = [(ends.lo, ends.hi, -(-(ends.hi - ends.lo + 1) // bins))], []
     while todo:
-        again = []
-        for lo, hi in todo:
-            step = -(-(hi - lo) // bins)
-            # Keys may span all longs: decimals keep the difference from overflowing.
-            place = F.floor((F.col(key).cast("decimal(20,0)") - F.lit(str(lo)).cast("decimal(20,0)")) / F.lit(str(step)).cast("decimal(20,0)")).cast("long")
-            counted = rows.where((F.col(key) >= lo) & (F.col(key) <= hi - 1)).groupBy(place.alias("bin")).agg(F.sum(weight).alias("w")).collect()
-            for r in counted:
-                begin = lo + r.bin * step
-                if r.w > target and step > 1:
-                    again.append((begin, min(begin + step, hi)))
-                else:
-                    found.append((begin, r.w))
+        counted = _histogram(narrow, todo).collect()
+        lows, again = [r[0] for r in todo], []
+        for r in sorted(counted):
+            _, last, step = todo[bisect.bisect_right(lows, r.begin) - 1]
+            if r.w > target and step > 1:
+                end = min(r.begin + step - 1, last)
+                again.append((r.begin, end, -(-(end - r.begin + 1) // max(16, -(-4 * r.w // target)))))
+            else:
+                found.append((r.begin, r.w))
         todo = again
     bounds, run = [], 0
     for begin, w in sorted(found):
@@ -77,6 +82,28 @@ def range_shards(rows: DataFrame, weight: Column, target: int, key: str = "page_
     return bounds
 
 
+def _histogram(narrow: DataFrame, ranges: list[tuple[int, int, int]]) -> DataFrame:
+    """begin and w: the weight of each step of the ranges (first key, last key, step; ascending) that has rows."""
+    lows, lasts = (np.array([r[i] for r in ranges], np.int64).view(np.uint64) for i in (0, 1))
+    given = narrow.sparkSession.sparkContext.broadcast((lows, lasts - lows, np.array([r[2] for r in ranges], np.uint64)))
+
+    def count(batches):
+        # Unsigned differences wrap, so keys may span all longs.
+        lows, spans, steps = given.value
+        for batch in batches:
+            keys, w = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            at = np.searchsorted(lows.view(np.int64), keys, "right") - 1
+            off = keys.view(np.uint64) - lows[at]
+            inside = (at >= 0) & (off <= spans[at])
+            at, off, w = at[inside], off[inside], w[inside]
+            begins, place = np.unique((lows[at] + off // steps[at] * steps[at]).view(np.int64), return_inverse=True)
+            sums = np.zeros(len(begins), np.int64)
+            np.add.at(sums, place, w)
+            yield pa.RecordBatch.from_arrays([pa.array(begins), pa.array(sums)], ["begin", "w"])
+
+    return narrow.mapInArrow(count, "begin long, w long").groupBy("begin").agg(F.sum("w").alias("w"))
+
+
 def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC record, not compressed."""
     uri = url or f"urn:page:{page_id}"
@@ -115,8 +142,6 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes
     given = spark.sparkContext.broadcast(bounds)
 
     def place(batches):
-        import bisect
-
         for part in batches:
             shard = [bisect.bisect_right(given.value, i) for i in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *part.columns], ["shard", *part.schema.names])
