@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer, and reader.
 
 1. Digests: of rows with equal payloads of at least min_revisit bytes, the one with the least page_id is a response, the
-   others revisit it. Only (page_id, digest) rows are shuffled for this; groups of copies are summed up before it.
+   others revisit it. Only (page_id, digest) rows are shuffled for this; groups of copies are summed up before it. The
+   links found join the records at their shard, so payloads are shuffled once, by 2.
 2. Range sort: shards are ranges of page_id with near equal payload bytes. Their bounds come from exact histograms, narrowed
    where a range has too much (one job a round for all of them), so they depend on the rows alone. Inside a shard, records are
    sorted by (page_id, digest, url).
@@ -39,15 +40,19 @@ _DATE = "2024-01-01T00:00:00Z"
 _NO_ID = -(2**63)
 
 
-def digests(pages: DataFrame, min_revisit: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id (null as the least long), url, payload, digest and refers_to (null for responses)."""
+def payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """page_id (null as the least long), url, payload and digest."""
     payload = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("can", (F.octet_length("payload") >= min_revisit) & (F.col("page_id") != _NO_ID))
+    return rows.withColumn("digest", F.sha2("payload", 256))
+
+
+def revisits(rows: DataFrame, min_revisit: int = 100) -> DataFrame:
+    """page_id, digest and refers_to of the payloads that are revisits, each once."""
+    can = rows.where((F.octet_length("payload") >= min_revisit) & (F.col("page_id") != _NO_ID)).select("page_id", "digest")
     # One row for each digest that several ids have; all others are responses without a look at them.
-    least = rows.where("can").groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first != last").select("digest", F.col("first"))
-    links = rows.where("can").select("page_id", "digest").join(least, "digest").where("page_id != first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    return rows.join(links, ["page_id", "digest"], "left").drop("can")
+    least = can.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first != last").select("digest", F.col("first"))
+    return can.join(least, "digest").where("page_id != first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
 
 
 def range_shards(rows: DataFrame, weight: Column, target: int, key: str = "page_id", bins: int = 4096, max_shards: int = 65536) -> list[int]:
@@ -131,10 +136,10 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("/") else f"file://{uri}")
 
 
-def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, level: int = 4, **columns) -> DataFrame:
+def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes: int = 16 << 20, level: int = 4, min_revisit: int = 100, **columns) -> DataFrame:
     """Write pages under folder, a URI that all executors reach; gives the manifest, which is written beside the files."""
     spark = pages.sparkSession
-    rows = digests(pages, **columns)
+    rows = payloads(pages, **columns)
     # The bounds need ids and lengths only, from the table itself.
     id_col, html_col = columns.get("id_col", "page_id"), columns.get("html_col", "html")
     sizes = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("page_id"), (F.coalesce(F.octet_length(F.col(html_col).cast("string")), F.lit(0)) + 512).alias("w"))
@@ -146,10 +151,14 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes
             shard = [bisect.bisect_right(given.value, i) for i in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *part.columns], ["shard", *part.schema.names])
 
-    kinds = "page_id long, url string, payload binary, digest string, refers_to long"
-    placed = rows.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(place, "shard int, " + kinds)
-    # One partition per shard or so: hashes of few shard numbers would leave some tasks with several.
-    ordered = placed.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    # A revisit's link travels to the shard as a row of its own and sorts before the records that it is about, so the
+    # payloads are shuffled once.
+    kinds = "page_id long, digest string, refers_to long, url string, payload binary"
+    links = revisits(rows, min_revisit).select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    records = rows.select("page_id", "digest", F.lit(None).cast("long").alias("refers_to"), "url", "payload")
+    placed = records.unionByName(links).mapInArrow(place, "shard int, " + kinds)
+    # One partition per shard: hashes of few shard numbers would leave some tasks with several.
+    ordered = placed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").asc_nulls_last(), "url")
 
     def store(batches):
         from pyspark import TaskContext
@@ -179,8 +188,13 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes
             file["sha"].update(raw)
             file["size"] += len(raw)
 
+        about, refers = None, None
         for part in slices(batches, rows=256):
-            for shard, page, url, payload, digest, refers in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for shard, page, digest, link, url, payload in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (page, digest) != about:
+                    about, refers = (page, digest), link
+                if payload is None:
+                    continue
                 if now is None or now["shard"] != shard or now["size"] >= file_bytes:
                     number = now["number"] + 1 if now and now["shard"] == shard else 0
                     close()
