@@ -284,8 +284,9 @@ def read_back(manifest: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{name}: not the file of the manifest")
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
+    # A stated number: the manifest is so small that adaptive execution would join all files into one task.
     files = manifest.select("file", "sha256")
-    return files.repartition(F.col("file")).mapInArrow(run, _RECORDS)
+    return files.repartition(min(max(files.count(), 1), 65536), "file").mapInArrow(run, _RECORDS)
 
 
 def summary(manifest: DataFrame) -> str:
