@@ -287,3 +287,27 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: The contract of op7 in DuckDB SQL: every window of 20 words as one string, later ones of equal strings are repeats.
+OP7_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, first, array_to_string(words[first + 1 : first + 20], ' ') AS window_text
+  FROM (SELECT doc_id, words, unnest(range(len(words) - 19)) AS first FROM texts)
+), repeats AS (
+  SELECT doc_id, first FROM windows
+  QUALIFY row_number() OVER (PARTITION BY window_text ORDER BY doc_id, first) > 1
+), covered AS (
+  SELECT DISTINCT doc_id, first + step AS place FROM repeats CROSS JOIN range(20) AS steps(step)
+), places AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM texts
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept_text
+  FROM places ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""

@@ -298,3 +298,19 @@ def summary(manifest: DataFrame) -> str:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "warc").root
     return read_back(write(read(spark, sf_dir, "pages"), folder, shard_bytes=16 << 20, file_bytes=4 << 20), folder)
+
+
+#: The contract of op3 in DuckDB SQL, over the pages themselves.
+OP3_SQL = """
+WITH payloads AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), ranked AS (
+  SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+    min(page_id) OVER (PARTITION BY payload) AS first_page
+  FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_page THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_page THEN first_page END AS refers_to
+FROM ranked
+"""
