@@ -217,3 +217,22 @@ def test_pipeline(spark):
         assert kept.columns == corpus_pipeline.COLUMNS and 0 < n <= before.count(), name
     packed = corpus_pipeline.run(spark, folder)
     assert packed.select("doc_id").distinct().count() == n
+
+
+def test_sql_twins(spark, tmp_path):
+    import duckdb
+
+    from veilframe.llm import registry
+
+    texts = _texts()
+    long, short = "<p>" + "ä" * 80 + "</p>", "<p>"
+    html = [long, short, None, long, "", short, long + " ", None, "x" * 100, "x" * 100, "y" * 99, "y" * 99]
+    tables = {"documents": ("doc_id long, text string", list(enumerate(texts))), "pages": ("page_id long, url string, html string", [(i, f"http://a/{i}", h) for i, h in enumerate(html)])}
+    con = duckdb.connect()
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name, sql in registry.ORACLE_SQL.items():
+        want = con.sql(sql)
+        got = registry.QUERIES[name](spark, str(tmp_path)).select(want.columns).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall())), name
