@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -121,6 +122,39 @@ def test_decontamination(spark, docs):
     assert set(got) == {(3, 1), (4, 1), (3, 2), (4, 2)} and got[3, 2] >= 0.8
 
 
+def _best_windows(docs, items, k=decontam.K):
+    """(doc_id, item_id): similarity (rounded) and first word of the best of all windows of the item's length."""
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if w]
+    grams = lambda w: Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else Counter([tuple(w)] if w else [])
+    best = {}
+    for i, text in docs:
+        for j, item in items:
+            w, own = cut(text), cut(item)
+            for s in range(max(1, len(w) - len(own) + 1)) if w and own else ():
+                a, b = grams(w[s : s + len(own)]), grams(own)
+                sim = (a & b).total() / (a | b).total()
+                if sim >= 0.8 and sim > best.get((i, j), (0,))[0]:
+                    best[i, j] = (sim, s)
+    return {x: (round(sim, 6), s) for x, (sim, s) in best.items()}
+
+
+def test_decontamination_all_windows(spark):
+    """Against all windows: items cut at the edges of a text, texts shorter than the item, and swapped halves."""
+    rng = random.Random(11)
+    say = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    item, short, line = say(50), say(12), say(4)
+    around = [say(30), item, say(30)]
+    texts = [item[a:] + say(40) for a in range(1, 7)] + [say(40) + item[: 50 - a] for a in range(1, 7)] + [item[:-1], item[1:], item[:44], item[3:48]]
+    texts += [say(30) + item[25:] + item[:25] + say(30), say(20) + item[:24] + say(2) + item[24:] + say(20), say(9) + item[:20] + ["odd"] + item[21:] + say(9)]
+    texts += [sum(around, []), short[:-1], say(5) + short, short[1:] + say(5), line * 30, say(200), [], say(3), item + item[2:]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(98, None), (99, "")]
+    items = [(1, " ".join(item)), (2, " ".join(short)), (3, " ".join(line * 10)), (4, None), (5, " ".join(item[:-2] + ["new", "end"]))]
+    want = _best_windows(docs, items)
+    got = decontam.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got} == want
+    assert {(i, 1) for i in (0, 1, 2, 6, 7, 12, 13, 16)} <= set(want)
+
+
 def test_shards(docs):
     got = sharding.kd_shards(docs, 4).collect()
     by = {}

@@ -2,9 +2,10 @@
 
 1. Words are lower-cased runs of letters, digits and other non-ASCII characters; shingles are five words, hashed to 64
    bits. (An item or window with fewer words is one shingle.)
-2. Windows have the item's length in words. A window can only reach the similarity if it shares a shingle with the
-   item, so windows are laid where a shared shingle aligns an item of that length, `slide` words to either side
-   included: document shingles meet the benchmark's distinct shingles in one join.
+2. Windows have the item's length in words and may start at any word; a shorter text is one window. A window of n
+   shingles can only reach the similarity s with an item of m if s * (n + m) / (1 + s) of its places hold a shingle of
+   some item of that length, so just the windows with so many are laid: document shingles meet the benchmark's distinct
+   shingles in one join, and the hit places of a text, in order, give the starts.
 3. Every window and item gets a 64-bit SimHash of its shingles, each weighted by its number of occurrences.
 4. Multi-index Hamming blocks: fingerprints are cut into 8 blocks of 8 bits. Items are listed under every block value
    that differs from theirs in at most 2 bits. Two fingerprints at distance 23 or less (8 * 3 - 1) have a block that
@@ -67,7 +68,6 @@ def find_contamination(
     items: DataFrame,
     min_similarity: float = 0.8,
     radius: int = 23,
-    slide: int = 1,
     k: int = K,
     broadcast_rows: int = 1_000_000,
     id_col: str = "doc_id",
@@ -82,7 +82,7 @@ def find_contamination(
     item = items.select(F.col(item_col).cast("long").alias("item_id"), F.size(words_of(body)).alias("len"), shingles_of(body, k).alias("sh"))
     item = scratch.table(item, "shingles").where("len > 0")
     item = scratch.table(item.groupBy("len", "sh").agg(F.collect_set("item_id").alias("ids"), F.min(F.coalesce("item_id", F.lit(-1))).alias("rank")).select("len", "sh", "ids", F.xxhash64("len", "sh", "rank").alias("item")), "items")
-    places = scratch.table(item.select("len", F.posexplode("sh").alias("q", "h")).distinct(), "places")
+    places = scratch.table(item.select("len", F.explode("sh").alias("h")).distinct(), "places")
     small = places.count() <= broadcast_rows
 
     def side(df: DataFrame) -> DataFrame:
@@ -90,19 +90,25 @@ def find_contamination(
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), shingles_of(F.col(text_col).cast("string"), k).alias("sh"))
     # The outer form: the inner one would infer a filter on the array's size and evaluate the shingles twice.
-    doc = texts.select("doc_id", F.xxhash64("sh").alias("text_key"), F.posexplode_outer("sh").alias("p", "h"))
+    doc = texts.select("doc_id", F.xxhash64("sh").alias("text_key"), F.size("sh").alias("n"), F.posexplode_outer("sh").alias("p", "h"))
     # Only the shingles that some item has are needed to lay windows; their neighbours come from the second pass below.
     hits = scratch.table(doc.join(side(places.select("h").distinct()), "h", "left_semi").distinct(), "hits")
     key = ["doc_id", "text_key", "start", "len"]
-    aligned = hits.join(side(places), "h").select("doc_id", "text_key", (F.col("p") - F.col("q")).alias("at"), "len").distinct()
-    starts = aligned.select("doc_id", "text_key", "len", F.explode(F.sequence(F.col("at") - slide, F.col("at") + slide)).alias("start")).where("start >= 0").distinct()
+    placed = hits.join(side(places), "h").groupBy("doc_id", "text_key", "n", "len").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+    # m and w: shingles of an item and of a window; need: the least number of hit places in the window, rounded up.
+    placed = placed.withColumn("m", F.greatest(F.lit(1), F.col("len") - (k - 1))).withColumn("w", F.least("m", "n"))
+    placed = placed.withColumn("need", F.greatest(F.lit(1), F.ceil(F.lit(min_similarity / (1 + min_similarity)) * (F.col("w") + F.col("m")) - 1e-6).cast("int")))
+    # The starts whose first hit is ps[i] are those after ps[i - 1]; they have enough hits if ps[i + need - 1] is inside.
+    least = "greatest(0, get(ps, i - 1) + 1, get(ps, i + need - 1) - w + 1)"
+    runs = f"transform(sequence(0, size(ps) - need), i -> struct({least} as a, least(get(ps, i), n - w) as b))"
+    starts = placed.where("size(ps) >= need").select("doc_id", "text_key", "len", F.expr(f"explode(filter({runs}, r -> r.a <= r.b))").alias("r"))
+    starts = starts.select("doc_id", "text_key", "len", F.explode(F.expr("sequence(r.a, r.b)")).alias("start"))
     spans = scratch.table(starts.select(*key), "starts")
     marked = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "len")).alias("windows"))
     texts = texts.withColumn("text_key", F.xxhash64("sh"))
     same = texts["doc_id"].eqNullSafe(marked["doc_id"]) & (texts["text_key"] == marked["text_key"])
     window = texts.join(marked, same).select(texts["doc_id"], texts["text_key"], "sh", F.explode("windows").alias("x"))
     grams = F.expr(f"slice(sh, x.start + 1, greatest(1, x.len - {k - 1}))")
-    window = window.where(F.expr(f"x.start + greatest(1, x.len - {k - 1}) <= size(sh)"))
     window = scratch.table(window.select("doc_id", "text_key", F.col("x.start").alias("start"), F.col("x.len").alias("len"), grams.alias("own")).distinct(), "windows")
 
     prints = scratch.table(_simhash(window.select(*key, F.explode("own").alias("h")), key, "h"), "window-prints")
