@@ -155,6 +155,13 @@ def test_decontamination_all_windows(spark):
     assert {(i, 1) for i in (0, 1, 2, 6, 7, 12, 13, 16)} <= set(want)
 
 
+def test_decontamination_null_item_id(spark, docs):
+    texts = _texts()
+    items = spark.createDataFrame([(None, texts[4]), (None, texts[0]), (7, texts[0])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contamination(docs, items).collect()}
+    assert {(4, None), (0, None), (1, None), (0, 7), (1, 7)} <= got
+
+
 def test_shards(docs):
     got = sharding.kd_shards(docs, 4).collect()
     by = {}

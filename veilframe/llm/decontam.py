@@ -13,8 +13,9 @@
 5. Candidates within the radius are verified: sum of minima over sum of maxima of the shingle counts, at least 0.8.
 
 The side of the benchmark is broadcast only if its shingles are counted and at most `broadcast_rows`; beyond that, the
-joins are left to Spark. Null or empty texts and items match nothing; a null doc_id counts as one document; repeated
-rows of a doc_id are matched as separate texts and reported once; empty tables give no rows; other columns are ignored.
+joins are left to Spark. Null or empty texts and items match nothing; a null doc_id counts as one document and a null
+item_id as one item; repeated rows of a doc_id are matched as separate texts and reported once; empty tables give no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def find_contamination(
     body = F.col("text").cast("string")
     item = items.select(F.col(item_col).cast("long").alias("item_id"), F.size(words_of(body)).alias("len"), shingles_of(body, k).alias("sh"))
     item = scratch.table(item, "shingles").where("len > 0")
-    item = scratch.table(item.groupBy("len", "sh").agg(F.collect_set("item_id").alias("ids"), F.min(F.coalesce("item_id", F.lit(-1))).alias("rank")).select("len", "sh", "ids", F.xxhash64("len", "sh", "rank").alias("item")), "items")
+    item = scratch.table(item.groupBy("len", "sh").agg(F.collect_set(F.struct("item_id")).alias("ids"), F.min(F.coalesce("item_id", F.lit(-1))).alias("rank")).select("len", "sh", "ids", F.xxhash64("len", "sh", "rank").alias("item")), "items")
     places = scratch.table(item.select("len", F.explode("sh").alias("h")).distinct(), "places")
     small = places.count() <= broadcast_rows
 
@@ -126,7 +127,7 @@ def find_contamination(
     overlap = f"aggregate(array_distinct(array_intersect(own, sh)), 0, (s, x) -> s + least({count.format('own')}, {count.format('sh')}))"
     sim = both.withColumn("both", F.expr(overlap)).withColumn("similarity", F.expr("both / (size(own) + size(sh) - both)"))
     sim = sim.where(F.col("similarity") >= min_similarity)
-    rows = sim.select("doc_id", F.explode("ids").alias("item_id"), F.col("start").alias("first_word"), F.col("len").alias("n_item_words"), "similarity")
+    rows = sim.withColumn("id", F.explode("ids")).select("doc_id", "id.item_id", F.col("start").alias("first_word"), F.col("len").alias("n_item_words"), "similarity")
     best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("neg"), "n_item_words")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.neg")).cast("long").alias("first_word"), F.col("b.n_item_words").cast("long").alias("n_item_words"), F.round("b.similarity", 6).alias("similarity"))
 
