@@ -85,6 +85,43 @@ def test_near_duplicates(docs):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), group[r.doc_id], group[r.doc_id] == r.doc_id)
 
 
+def _brute_groups(rows, k):
+    """The least id of each row's group: nodes are rows, links have similarity 0.8 or one id."""
+    sets = [{tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in (t.split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and (rows[i][0] == rows[j][0] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        least[g] = min(i, least.get(g, i))
+    return {i: least[g] for (i, _), g in zip(rows, group, strict=True)}
+
+
+@pytest.mark.parametrize("block_rows", [16, 2048])
+def test_near_duplicates_end_where_nothing_links(spark, monkeypatch, block_rows):
+    """A family at similarity 0.7 or so, below the threshold, with a few copies: pairs per row never fall to rest_factor."""
+    rng = random.Random(3)
+    base = [rng.choice(WORDS) for _ in range(90)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        own[i % 80 + 4] = f"own{i}"
+        rows.append((i, " ".join([*own, *(f"end{i}x{j}" for j in range(5))])))
+    rows += [(100 + i, rows[i][1] + " more") for i in range(0, 60, 9)]
+    table, rounds = neardup.Scratch.table, []
+
+    def counted(self, df, name):
+        rounds.append(name.startswith("mixed-"))
+        assert sum(rounds) < 12, "the rounds do not end"
+        return table(self, df, name)
+
+    monkeypatch.setattr(neardup.Scratch, "table", counted)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=5, rest_factor=1, pivots=2, block_rows=block_rows).collect()
+    assert {r.doc_id: r.component_id for r in got} == _brute_groups(rows, 5)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(50, 60), (60, 55), (70, 70)]
     got = neardup.components(spark.createDataFrame(edges, "a long, b long"), neardup.Scratch(spark, "cc"), "t").collect()

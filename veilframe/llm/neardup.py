@@ -9,9 +9,10 @@
    Pairs whose collision-corrected estimate is far below the threshold are dropped.
 4. Confirm: links are decided on the full shingle sets. Confirmed links merge components; bands whose classes are all in
    one component are done.
-5. The rest: when at most rest_factor pairs per row remain between components of a band (further rounds of pivots bring
-   them down to it), all likely ones not yet compared are confirmed, so the components are those of the whole candidate
-   graph.
+5. The rest: when at most rest_factor pairs per row remain between components of a band, or a round of pivots has not
+   halved them (texts alike but below the threshold never link, however many rounds), all likely ones not yet compared
+   are confirmed, so the components are those of the whole candidate graph. Bands of more than block_rows rows are met
+   block by block, each two blocks by a key of their own.
 
 Rows: null or wordless text has no shingles, is linked with nothing and is its own component. Rows that share a doc_id
 are one document: their links unite. A row with a null doc_id is linked with nothing and stays (component null).
@@ -174,6 +175,7 @@ def near_duplicates(
     slack: float = 0.075,
     rest_factor: int = 256,
     pivots: int = 8,
+    block_rows: int = 2048,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -202,7 +204,7 @@ def near_duplicates(
 
     links = scratch.table(same_id, "links-0")
     comps = components(links, scratch, "start")
-    tested, turn = None, 0
+    tested, turn, before = None, 0, 0
     while True:
         turn += 1
         order = lambda n, t=turn: F.xxhash64("rep", F.lit(t), F.lit(n)) if t > 1 else F.col("rep")
@@ -215,7 +217,8 @@ def near_duplicates(
         left = sums.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("rows")).first()
         if not left.rows:
             break
-        last = turn > 2 and left.pairs <= rest_factor * left.rows
+        last = turn > 2 and (left.pairs <= rest_factor * left.rows or 2 * left.pairs > before)
+        before = left.pairs
         a = signs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
         b = signs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
         near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (estimate("sa", "sb", n_hashes, bits) >= percent / 100 - slack)
@@ -223,10 +226,13 @@ def near_duplicates(
             # The estimate is part of the join, so only likely pairs come out of it.
             # A pair comes out of the first band that it shares only (bands compared by 31 bits).
             heads = lambda side: signs.select(F.col("rep").alias(side), F.col("bands").alias(f"b{side}"))
-            x = todo.select("band", "i", "comp", F.col("rep").alias("a")).join(a, "a").join(heads("a"), "a")
-            y = todo.select("band", F.col("comp").alias("other"), F.col("rep").alias("b")).join(b, "b").join(heads("b"), "b")
+            # Every pair of blocks of a band is a key: x goes to all (own block, v), y to all (u, own block).
+            blocks = F.ceil(F.col("n") / block_rows)
+            own, every = F.pmod(F.xxhash64("rep"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
+            x = todo.select("band", "i", "comp", F.col("rep").alias("a"), own.alias("u"), every.alias("v")).join(a, "a").join(heads("a"), "a")
+            y = todo.select("band", F.col("comp").alias("other"), F.col("rep").alias("b"), every.alias("u"), own.alias("v")).join(b, "b").join(heads("b"), "b")
             earlier = F.exists(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda j: (j < F.col("i")) & (F.get("ba", j) == F.get("bb", j)))
-            likely = x.join(y, (x.band == y.band) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("other")) & near & ~earlier).select("a", "b").distinct()
+            likely = x.join(y, (x.band == y.band) & (x.u == y.u) & (x.v == y.v) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("other")) & near & ~earlier).select("a", "b").distinct()
         else:
             each = todo.select("rep", "comp", F.explode("pivots").alias("p")).where("comp != p.comp")
             pairs = each.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
