@@ -1,5 +1,7 @@
 """The operators against brute force, round trips and held-out accuracy, on small hand-made tables with odd rows."""
 
+import inspect
+import math
 import random
 import re
 import zlib
@@ -122,6 +124,15 @@ def test_near_duplicates_end_where_nothing_links(spark, monkeypatch, block_rows)
     assert {r.doc_id: r.component_id for r in got} == _brute_groups(rows, 5)
 
 
+def test_estimate_loses_no_more_than_the_bands():
+    """By the normal tail, a pair at 0.8 (chance agreement of the low bits included) against its chance to share no band."""
+    p = {n: x.default for n, x in inspect.signature(neardup.near_duplicates).parameters.items()}
+    chance = 2.0 ** -p["bits"]
+    agree = 0.8 + 0.2 * chance
+    deviation = math.sqrt(agree * (1 - agree) / p["n_hashes"]) / (1 - chance)
+    assert math.erfc(p["slack"] / deviation / math.sqrt(2)) / 2 <= (1 - 0.8 ** p["rows"]) ** p["n_bands"]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(50, 60), (60, 55), (70, 70)]
     got = neardup.components(spark.createDataFrame(edges, "a long, b long"), neardup.Scratch(spark, "cc"), "t").collect()

@@ -172,7 +172,7 @@ def near_duplicates(
     n_bands: int = 32,
     rows: int = 4,
     bits: int = 4,
-    slack: float = 0.075,
+    slack: float = 0.1,
     rest_factor: int = 256,
     pivots: int = 8,
     block_rows: int = 2048,
@@ -181,8 +181,8 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
-    A pair at the threshold shares no band once in 2e7; its estimate is `slack` (over four standard deviations) too low
-    once in 4e4, and less often the more alike the texts are.
+    A pair at the threshold shares no band once in 2e7; its estimate is `slack` (5.4 standard deviations) too low once in
+    3e7, and less often the more alike the texts are.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     signed = scratch.table(sign(docs, k, n_hashes, n_bands, rows, bits, id_col, text_col), "signed")
