@@ -133,6 +133,18 @@ def test_estimate_loses_no_more_than_the_bands():
     assert math.erfc(p["slack"] / deviation / math.sqrt(2)) / 2 <= (1 - 0.8 ** p["rows"]) ** p["n_bands"]
 
 
+def test_near_duplicates_of_each_text_of_an_id(spark):
+    """One id with several texts: near copies of every one of them join its component."""
+    rng = random.Random(8)
+    say = lambda: " ".join(rng.choice(WORDS) for _ in range(60))
+    a, b, c, d, e = say(), say(), say(), say(), say()
+    rows = [(1, a), (1, b), (1, c), (1, c), (5, a + " end"), (6, b + " end"), (7, c + " end"), (9, d), (3, d), (9, e), (4, e + " end"), (11, say())]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    want = _brute_groups(rows, 4)
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+    assert all(r.kept == (r.doc_id == want[r.doc_id]) for r in got)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(50, 60), (60, 55), (70, 70)]
     got = neardup.components(spark.createDataFrame(edges, "a long, b long"), neardup.Scratch(spark, "cc"), "t").collect()

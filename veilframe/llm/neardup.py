@@ -2,7 +2,8 @@
 
 1. Sign: words are hashed, shingles are hashed words in a row, and n_hashes minima are taken over the distinct
    shingles. n_bands bands of `rows` minima are hashed to band keys; of every minimum, `bits` low bits are packed into longs.
-2. Collapse: equal shingle sets (equal digests, so equal texts too) are one class, whose least doc_id stands for it.
+2. Collapse: equal shingle sets (equal digests, so equal texts too) are one class, a node with a number of its own. One of
+   the texts of its least doc_id stands for it. Classes of one doc_id are linked.
 3. Candidates: classes that share a band key. Copies in a band are never expanded into all pairs: in each round every
    band has one pivot (the first round: its least id) or `pivots` of them, and the other classes of the band that are not
    yet in a pivot's component pair with it.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, gram_hashes, mix, read, slices, word_hashes, word_spans
 
-_SIGNED = "doc_id long, n_shingles long, key binary, sig array<long>, bands array<long>"
+_SIGNED = "doc_id long, text_key long, n_shingles long, key binary, sig array<long>, bands array<long>"
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -52,6 +53,11 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
+def _text_key(text_col: str) -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.col(text_col).cast("string")).alias("text_key")
+
+
 def sign(docs: DataFrame, k: int, n_hashes: int, n_bands: int, rows: int, bits: int, id_col: str, text_col: str) -> DataFrame:
     rng = np.random.default_rng(7)
     xors = rng.integers(0, 2**63, n_hashes, dtype=np.uint64)
@@ -62,7 +68,7 @@ def sign(docs: DataFrame, k: int, n_hashes: int, n_bands: int, rows: int, bits:
         import hashlib
 
         for part in slices(batches, rows=192):
-            sets = shingle_sets([t or b"" for t in part.column(1).to_pylist()], k)
+            sets = shingle_sets([t or b"" for t in part.column(2).to_pylist()], k)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             full = np.flatnonzero(sizes)
             minima = np.zeros((n_hashes, len(full)), np.uint64)
@@ -84,15 +90,16 @@ def sign(docs: DataFrame, k: int, n_hashes: int, n_bands: int, rows: int, bits:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
+                    part.column(1),
                     pa.array(sizes),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([sig[where[i]] if i in where else None for i in range(len(sets))], pa.list_(pa.int64())),
                     pa.array([band[where[i]] if i in where else None for i in range(len(sets))], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "key", "sig", "bands"],
+                ["doc_id", "text_key", "n_shingles", "key", "sig", "bands"],
             )
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text_col), F.col(text_col).cast("string").cast("binary").alias("text"))
     return plain.mapInArrow(run, _SIGNED)
 
 
@@ -127,8 +134,8 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 keep.append(100 * both >= percent * (len(own) + len(other) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    other = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    own = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    other = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return pairs.join(other, "b").join(own, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -187,30 +194,30 @@ def near_duplicates(
     scratch = Scratch(docs.sparkSession, "neardup")
     signed = scratch.table(sign(docs, k, n_hashes, n_bands, rows, bits, id_col, text_col), "signed")
     known = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.table(known.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.sig", "m.bands"), "classes")
-    # Rows of one doc_id with several texts: their classes are one node.
-    repeated = known.select("doc_id", "key").distinct().join(classes.select("key", "rep"), "key")
-    same_id = repeated.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
-    same_id = same_id.unionByName(repeated.where("doc_id != rep").join(repeated.select(F.col("doc_id").alias("rep")).distinct(), "rep", "left_anti").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-
-    band = classes.select("rep", F.posexplode("bands").alias("i", "v")).select(F.xxhash64("i", "v").alias("band"), "i", "rep")
-    shared = band.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("band")
+    one = known.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "sig", "bands")).alias("m"))
+    classes = scratch.table(one.select(F.monotonically_increasing_id().alias("node"), "key", "m.*"), "classes")
+    # Rows of one doc_id with several texts: their classes are linked.
+    several = known.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("doc_id")
+    own = known.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "node"), "key")
+    same_id = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("l")).select("a", F.explode("l").alias("b")).where("a != b")
+
+    band = classes.select("node", F.posexplode("bands").alias("i", "v")).select(F.xxhash64("i", "v").alias("band"), "i", "node")
+    shared = band.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("band")
     band = scratch.table(band.join(shared, "band").distinct(), "band")
-    signs = scratch.table(classes.join(band.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min(F.struct("sig", "n_shingles", "bands")).alias("m")).select("rep", "m.sig", "m.n_shingles", F.transform("m.bands", lambda v: F.shiftrightunsigned(v, 33).cast("int")).alias("bands")), "signs")
-    wanted = signs.select(F.col("rep").alias("w"))
-    # All rows of one representative have its id; where one id has several texts, any of its own texts may stand for it.
-    plain = docs.select(F.col(id_col).cast("long").alias("w"), F.col(text_col).cast("string").cast("binary").alias("t")).where("w is not null and t is not null")
-    texts = scratch.table(plain.join(wanted, "w", "left_semi").groupBy("w").agg(F.max("t").alias("text")).withColumnRenamed("w", "rep"), "texts")
+    signs = scratch.table(classes.join(band.select("node").distinct(), "node", "left_semi").select("node", "sig", "n_shingles", F.transform("bands", lambda v: F.shiftrightunsigned(v, 33).cast("int")).alias("bands"), "doc_id", "text_key"), "signs")
+    # All rows of a class's text and id have the same text, whatever other texts the id has.
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text_col), F.col(text_col).cast("string").cast("binary").alias("t")).where("doc_id is not null and t is not null")
+    texts = scratch.table(plain.join(signs.select("doc_id", "text_key", "node"), ["doc_id", "text_key"]).groupBy("node").agg(F.max("t").alias("text")), "texts")
 
     links = scratch.table(same_id, "links-0")
     comps = components(links, scratch, "start")
     tested, turn, before = None, 0, 0
     while True:
         turn += 1
-        order = lambda n, t=turn: F.xxhash64("rep", F.lit(t), F.lit(n)) if t > 1 else F.col("rep")
-        labelled = band.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "i", "rep", F.coalesce("comp", "rep").alias("comp"))
-        mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.array_distinct(F.array(*[F.min(F.struct(order(n).alias("o"), "rep", "comp")) for n in range(pivots if turn > 1 else 1)])).alias("pivots"))
-        mixed = scratch.table(mixed.where("lo != hi").select("band", "n", F.transform("pivots", lambda p: F.struct(p["rep"].alias("rep"), p["comp"].alias("comp"))).alias("pivots")), f"mixed-{turn}")
+        order = lambda n, t=turn: F.xxhash64("node", F.lit(t), F.lit(n)) if t > 1 else F.col("node")
+        labelled = band.join(comps, "node", "left").select("band", "i", "node", F.coalesce("comp", "node").alias("comp"))
+        mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.array_distinct(F.array(*[F.min(F.struct(order(n).alias("o"), "node", "comp")) for n in range(pivots if turn > 1 else 1)])).alias("pivots"))
+        mixed = scratch.table(mixed.where("lo != hi").select("band", "n", F.transform("pivots", lambda p: F.struct(p["node"].alias("node"), p["comp"].alias("comp"))).alias("pivots")), f"mixed-{turn}")
         todo = scratch.table(labelled.join(mixed, "band"), f"todo-{turn}")
         per_comp = todo.groupBy("band", "comp").count()
         sums = per_comp.groupBy("band").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
@@ -219,23 +226,23 @@ def near_duplicates(
             break
         last = turn > 2 and (left.pairs <= rest_factor * left.rows or 2 * left.pairs > before)
         before = left.pairs
-        a = signs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
-        b = signs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
+        a = signs.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
+        b = signs.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
         near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (estimate("sa", "sb", n_hashes, bits) >= percent / 100 - slack)
         if last:
             # The estimate is part of the join, so only likely pairs come out of it.
             # A pair comes out of the first band that it shares only (bands compared by 31 bits).
-            heads = lambda side: signs.select(F.col("rep").alias(side), F.col("bands").alias(f"b{side}"))
+            heads = lambda side: signs.select(F.col("node").alias(side), F.col("bands").alias(f"b{side}"))
             # Every pair of blocks of a band is a key: x goes to all (own block, v), y to all (u, own block).
             blocks = F.ceil(F.col("n") / block_rows)
-            own, every = F.pmod(F.xxhash64("rep"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
-            x = todo.select("band", "i", "comp", F.col("rep").alias("a"), own.alias("u"), every.alias("v")).join(a, "a").join(heads("a"), "a")
-            y = todo.select("band", F.col("comp").alias("other"), F.col("rep").alias("b"), every.alias("u"), own.alias("v")).join(b, "b").join(heads("b"), "b")
+            own, every = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
+            x = todo.select("band", "i", "comp", F.col("node").alias("a"), own.alias("u"), every.alias("v")).join(a, "a").join(heads("a"), "a")
+            y = todo.select("band", F.col("comp").alias("other"), F.col("node").alias("b"), every.alias("u"), own.alias("v")).join(b, "b").join(heads("b"), "b")
             earlier = F.exists(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda j: (j < F.col("i")) & (F.get("ba", j) == F.get("bb", j)))
             likely = x.join(y, (x.band == y.band) & (x.u == y.u) & (x.v == y.v) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("other")) & near & ~earlier).select("a", "b").distinct()
         else:
-            each = todo.select("rep", "comp", F.explode("pivots").alias("p")).where("comp != p.comp")
-            pairs = each.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+            each = todo.select("node", "comp", F.explode("pivots").alias("p")).where("comp != p.comp")
+            pairs = each.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
             likely = pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
         if tested is not None:
             likely = likely.join(tested, ["a", "b"], "left_anti")
@@ -247,7 +254,10 @@ def near_duplicates(
         scratch.drop(f"todo-{turn}", f"mixed-{turn}")
         if last:
             break
-    named = classes.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("class_comp"))
+    # A component is named by the least doc_id of its classes, each of which has its own least.
+    ids = classes.select("node", "key", "doc_id").join(comps, "node", "left")
+    least = comps.join(classes.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
+    named = ids.join(least, "comp", "left").select("key", F.coalesce("least", "doc_id").alias("class_comp"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
     comp = F.coalesce("class_comp", "doc_id")
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
