@@ -87,6 +87,15 @@ def test_near_duplicates(docs):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), group[r.doc_id], group[r.doc_id] == r.doc_id)
 
 
+def test_packing_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a<|endoftext|>b", "<|startoftext|> Hello, <|endoftext|>", "x <|endoftext|>\x1c y's", "<|ENDOFTEXT|> <| endoftext|>", "<|endoftext|><|endoftext|>"]
+    tk = Tokenizer.from_file(packing.default_tokenizer())
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packing.default_tokenizer(), with_ids=True).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {i: [*tk.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
 def _brute_groups(rows, k):
     """The least id of each row's group: nodes are rows, links have similarity 0.8 or one id."""
     sets = [{tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in (t.split() for _, t in rows)]

@@ -28,6 +28,7 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Texts without apostrophes, of Latin letters, ASCII digits, marks and white space: the tokenizer's own cuts are these.
 _SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9\t\n\x0b\x0c\r !-&(-/:-@\[-`{-~]*")
 _CUT = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Texts with it may hold special tokens, which the tokenizer looks for before it cuts: they are encoded whole.
 _SPECIAL = "<|"
 #: White space for Python's split() that isn't for the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -44,7 +45,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.max_entries = max_entries
@@ -96,7 +96,7 @@ class Encoder:
         return [next(rest) if d is None else d for d in done]
 
     def _encode_words(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
+        split = [None if _SPECIAL in t or _ODD_SPACE.search(t) else t.split() for t in texts]
         known = self.words
         missing = {w for ws in split if ws for w in ws if w not in known}
         if missing:
