@@ -4,16 +4,16 @@
    shingles. n_bands bands of `rows` minima are hashed to band keys; of every minimum, `bits` low bits are packed into longs.
 2. Collapse: equal shingle sets (equal digests, so equal texts too) are one class, a node with a number of its own. One of
    the texts of its least doc_id stands for it. Classes of one doc_id are linked.
-3. Candidates: classes that share a band key. Copies in a band are never expanded into all pairs: in each round every
-   band has one pivot (the first round: its least id) or `pivots` of them, and the other classes of the band that are not
-   yet in a pivot's component pair with it.
-   Pairs whose collision-corrected estimate is far below the threshold are dropped.
+3. Candidates: classes that share a band key. Copies in a band are never expanded into all pairs: in the first round
+   the other classes of a band pair with its least node, in the second with up to `pivots` others, unless they are in
+   one component already. Pairs whose collision-corrected estimate is far below the threshold are dropped.
 4. Confirm: links are decided on the full shingle sets. Confirmed links merge components; bands whose classes are all in
    one component are done.
-5. The rest: when at most rest_factor pairs per row remain between components of a band, or a round of pivots has not
-   halved them (texts alike but below the threshold never link, however many rounds), all likely ones not yet compared
-   are confirmed, so the components are those of the whole candidate graph. Bands of more than block_rows rows are met
-   block by block, each two blocks by a key of their own.
+5. The rest: in a band that still has several components, every class outside its largest component meets every class
+   of another component. Bands are dealt in blocks of at most about block_rows rows and block_bytes of shingles; two
+   blocks meet in one task, which estimates, confirms, merges components as it goes, and gives out only the links that
+   join two of them: never more than it has rows. A pair is compared in the first band that it shares.
+   So there are three rounds at most, and the components are those of the whole candidate graph.
 
 Rows: null or wordless text has no shingles, is linked with nothing and is its own component. Rows that share a doc_id
 are one document: their links unite. A row with a null doc_id is linked with nothing and stays (component null).
@@ -171,6 +171,79 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels
 
 
+def _likely(a: np.ndarray, b: np.ndarray, n_hashes: int, bits: int) -> np.ndarray:
+    """The estimate of `estimate` for one packed signature against many."""
+    x = b ^ a
+    for s in (1 << i for i in range(bits.bit_length() - 1)):
+        x = x | (x >> np.uint64(s))
+    mask = np.uint64(sum(1 << (i * bits) for i in range(64 // bits)))
+    differ = np.bitwise_count(x & mask).sum(axis=1, dtype=np.int64)
+    chance = 2.0**-bits
+    return (1 - differ / n_hashes - chance) / (1 - chance)
+
+
+def _meet(k: int, percent: int, n_hashes: int, bits: int, slack: float):
+    """For one pair of blocks of a band: the links that join components, confirmed on full sets."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        u, v = key[1].as_py(), key[2].as_py()
+        block = table.column("own").to_numpy()
+        node, comp, size = (table.column(c).to_numpy().copy() for c in ("node", "comp", "n_shingles"))
+        place = table.column("i")[0].as_py()
+        sig, bands = (pa.compute.list_flatten(table.column(c)).to_numpy().view(np.uint64).reshape(len(node), -1) for c in ("sig", "bands"))
+        texts, sets = table.column("text"), {}
+
+        def own(rows: list[int]) -> list[np.ndarray]:
+            new = [r for r in rows if r not in sets]
+            if new:
+                sets.update(zip(new, shingle_sets([texts[r].as_py() for r in new], k), strict=True))
+            return [sets[r] for r in rows]
+
+        left, right = np.flatnonzero(block == u), np.flatnonzero(block == v)
+        out = []
+        for at, x in enumerate(left.tolist()):
+            ys = right[at + 1 :] if u == v else right
+            ys = ys[comp[ys] != comp[x]]
+            low, high = np.minimum(size[ys], size[x]), np.maximum(size[ys], size[x])
+            ys = ys[100 * low >= percent * high]
+            ys = ys[~(bands[ys, :place] == bands[x, :place]).any(axis=1)]
+            ys = ys[_likely(sig[x], sig[ys], n_hashes, bits) >= percent / 100 - slack]
+            for i in range(0, len(ys), 256):
+                part = ys[i : i + 256]
+                part = part[comp[part] != comp[x]]
+                if not len(part):
+                    continue
+                [mine], others = own([x]), own(part.tolist())
+                shingles = np.concatenate(others)
+                found = mine[np.minimum(np.searchsorted(mine, shingles), len(mine) - 1)] == shingles
+                both = np.add.reduceat(found, np.r_[0, np.cumsum([len(o) for o in others])[:-1]], dtype=np.int64)
+                for y in part[100 * both >= percent * (size[part] + size[x] - both)].tolist():
+                    if comp[y] != comp[x]:
+                        out.append((int(node[x]), int(node[y])))
+                        comp[comp == comp[y]] = comp[x]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
+
+def _rest(labelled: DataFrame, signs: DataFrame, texts: DataFrame, meet, block_rows: int, block_bytes: int) -> DataFrame:
+    """Links (a, b) between classes of a band that are in two components; labelled: band, i, node, n_shingles, comp.
+
+    Blocks are numbered: first those outside the band's largest component, then those of it. A row of the former goes to
+    its pairs with all blocks, a row of the latter to its pairs with the former only.
+    """
+    per_comp = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    mixed = per_comp.groupBy("band").agg(F.max(F.struct("n", "s", "comp")).alias("main"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("comps"))
+    blocks = lambda n, s: F.greatest(F.ceil(n / block_rows), F.ceil(8 * s / block_bytes)).cast("int")
+    mixed = mixed.where("comps > 1").select("band", F.col("main.comp").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("others"), blocks(F.col("main.n"), F.col("main.s")).alias("mains"))
+    rows = labelled.join(mixed, "band").withColumn("in_main", F.expr("comp = main"))
+    rows = rows.withColumn("own", F.expr("if(in_main, others + pmod(xxhash64(node), mains), pmod(xxhash64(node), others))").cast("int"))
+    met = F.expr("transform(sequence(0, if(in_main, others, others + mains) - 1), j -> struct(least(own, j) as u, greatest(own, j) as v))")
+    dealt = rows.select("node", "comp", "band", "i", "own", F.explode(met).alias("m")).select("node", "comp", "band", "i", "own", "m.*")
+    full = dealt.join(signs.select("node", "n_shingles", "sig", "bands"), "node").join(texts, "node")
+    return full.groupBy("band", "u", "v").applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -180,9 +253,9 @@ def near_duplicates(
     rows: int = 4,
     bits: int = 4,
     slack: float = 0.1,
-    rest_factor: int = 256,
     pivots: int = 8,
     block_rows: int = 2048,
+    block_bytes: int = 32 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -191,6 +264,8 @@ def near_duplicates(
     A pair at the threshold shares no band once in 2e7; its estimate is `slack` (5.4 standard deviations) too low once in
     3e7, and less often the more alike the texts are.
     """
+    import pyarrow.compute  # noqa: F401
+
     scratch = Scratch(docs.sparkSession, "neardup")
     signed = scratch.table(sign(docs, k, n_hashes, n_bands, rows, bits, id_col, text_col), "signed")
     known = signed.where("n_shingles > 0 and doc_id is not null")
@@ -199,61 +274,39 @@ def near_duplicates(
     # Rows of one doc_id with several texts: their classes are linked.
     several = known.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("doc_id")
     own = known.join(several, "doc_id", "left_semi").select("doc_id", "key").distinct().join(classes.select("key", "node"), "key")
-    same_id = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.collect_set("node").alias("l")).select("a", F.explode("l").alias("b")).where("a != b")
+    same_id = own.join(own.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")).where("a != b")
 
-    band = classes.select("node", F.posexplode("bands").alias("i", "v")).select(F.xxhash64("i", "v").alias("band"), "i", "node")
+    band = classes.select("node", "n_shingles", F.posexplode("bands").alias("i", "v")).select(F.xxhash64("i", "v").alias("band"), "i", "node", "n_shingles")
     shared = band.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("band")
     band = scratch.table(band.join(shared, "band").distinct(), "band")
-    signs = scratch.table(classes.join(band.select("node").distinct(), "node", "left_semi").select("node", "sig", "n_shingles", F.transform("bands", lambda v: F.shiftrightunsigned(v, 33).cast("int")).alias("bands"), "doc_id", "text_key"), "signs")
+    signs = scratch.table(classes.join(band.select("node").distinct(), "node", "left_semi").select("node", "sig", "n_shingles", "bands", "doc_id", "text_key"), "signs")
     # All rows of a class's text and id have the same text, whatever other texts the id has.
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_key(text_col), F.col(text_col).cast("string").cast("binary").alias("t")).where("doc_id is not null and t is not null")
     texts = scratch.table(plain.join(signs.select("doc_id", "text_key", "node"), ["doc_id", "text_key"]).groupBy("node").agg(F.max("t").alias("text")), "texts")
+    a = signs.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
+    b = signs.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
+    near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (estimate("sa", "sb", n_hashes, bits) >= percent / 100 - slack)
 
     links = scratch.table(same_id, "links-0")
     comps = components(links, scratch, "start")
-    tested, turn, before = None, 0, 0
-    while True:
-        turn += 1
-        order = lambda n, t=turn: F.xxhash64("node", F.lit(t), F.lit(n)) if t > 1 else F.col("node")
-        labelled = band.join(comps, "node", "left").select("band", "i", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.array_distinct(F.array(*[F.min(F.struct(order(n).alias("o"), "node", "comp")) for n in range(pivots if turn > 1 else 1)])).alias("pivots"))
-        mixed = scratch.table(mixed.where("lo != hi").select("band", "n", F.transform("pivots", lambda p: F.struct(p["node"].alias("node"), p["comp"].alias("comp"))).alias("pivots")), f"mixed-{turn}")
-        todo = scratch.table(labelled.join(mixed, "band"), f"todo-{turn}")
-        per_comp = todo.groupBy("band", "comp").count()
-        sums = per_comp.groupBy("band").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        left = sums.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("s"), F.lit(0)).alias("rows")).first()
-        if not left.rows:
-            break
-        last = turn > 2 and (left.pairs <= rest_factor * left.rows or 2 * left.pairs > before)
-        before = left.pairs
-        a = signs.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n_shingles").alias("na"))
-        b = signs.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n_shingles").alias("nb"))
-        near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (estimate("sa", "sb", n_hashes, bits) >= percent / 100 - slack)
-        if last:
-            # The estimate is part of the join, so only likely pairs come out of it.
-            # A pair comes out of the first band that it shares only (bands compared by 31 bits).
-            heads = lambda side: signs.select(F.col("node").alias(side), F.col("bands").alias(f"b{side}"))
-            # Every pair of blocks of a band is a key: x goes to all (own block, v), y to all (u, own block).
-            blocks = F.ceil(F.col("n") / block_rows)
-            own, every = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))
-            x = todo.select("band", "i", "comp", F.col("node").alias("a"), own.alias("u"), every.alias("v")).join(a, "a").join(heads("a"), "a")
-            y = todo.select("band", F.col("comp").alias("other"), F.col("node").alias("b"), every.alias("u"), own.alias("v")).join(b, "b").join(heads("b"), "b")
-            earlier = F.exists(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda j: (j < F.col("i")) & (F.get("ba", j) == F.get("bb", j)))
-            likely = x.join(y, (x.band == y.band) & (x.u == y.u) & (x.v == y.v) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("other")) & near & ~earlier).select("a", "b").distinct()
+    for turn in (1, 2, 3):
+        labelled = band.join(comps, "node", "left").select("band", "i", "node", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+        if turn == 3:
+            found = _rest(labelled, signs, texts, _meet(k, percent, n_hashes, bits, slack), block_rows, block_bytes)
         else:
-            each = todo.select("node", "comp", F.explode("pivots").alias("p")).where("comp != p.comp")
+            order = lambda n, t=turn: F.xxhash64("node", F.lit(n)) if t > 1 else F.col("node")
+            chosen = F.array_distinct(F.array(*[F.min(F.struct(order(n).alias("o"), "node", "comp")) for n in range(pivots if turn > 1 else 1)]))
+            mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), chosen.alias("pivots"))
+            mixed = mixed.where("lo != hi").select("band", F.transform("pivots", lambda p: F.struct(p["node"].alias("node"), p["comp"].alias("comp"))).alias("pivots"))
+            each = labelled.join(mixed, "band").select("node", "comp", F.explode("pivots").alias("p")).where("comp != p.comp")
             pairs = each.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-            likely = pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
-        if tested is not None:
-            likely = likely.join(tested, ["a", "b"], "left_anti")
-        likely = scratch.table(likely, f"pairs-{turn}")
-        found = scratch.table(_confirm(likely, texts, k, percent), f"links-{turn}")
+            likely = scratch.table(pairs.join(a, "a").join(b, "b").where(near).select("a", "b"), f"pairs-{turn}")
+            found = _confirm(likely, texts, k, percent)
+        found = scratch.table(found, f"links-{turn}")
+        if not found.limit(1).count():
+            continue
         links = links.unionByName(found)
-        tested = likely if tested is None else tested.unionByName(likely)
         comps = components(links, scratch, f"comp{turn}")
-        scratch.drop(f"todo-{turn}", f"mixed-{turn}")
-        if last:
-            break
     # A component is named by the least doc_id of its classes, each of which has its own least.
     ids = classes.select("node", "key", "doc_id").join(comps, "node", "left")
     least = comps.join(classes.select("node", "doc_id"), "node").groupBy("comp").agg(F.min("doc_id").alias("least"))
