@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilframe import config
 from veilframe.functions import text as T
 from veilframe.functions.detectors import RULES, SECRETS, by_type
-from veilframe.operators import audit, code, names, rehydrate, session, spans
+from veilframe.operators import audit, code, detect, names, rehydrate, session, spans
 from veilframe.plans import catalogue
 from veilframe.streaming import rehydrate as stream
 
@@ -103,7 +103,38 @@ def test_config():
     assert config.validate({"behavior": {"aggression": "max"}})[0] and config.check_upstream("http://10.0.0.1/")
 
 
-@pytest.mark.parametrize("name", ["find_email", "find_token_secret", "scan_totals", "session_map", "audit_chain_verify", "stream_rehydrate"])
+def test_both_searches_agree(spark):
+    """The native expression and the Arrow function give the same findings, in odd texts too."""
+    rules = [*SECRETS, *RULES]
+    texts = [t for _, t, _ in CASES] + ["\uff4cena@no\u200brth.example", "p\u0430ssword=\"geheim123\" ä 10.1.2.3 " * 70, "", "ß" * 50 + " Neue Alte Gasse 5, 12345 Ort"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folded = spans.with_hits(docs, rules).withColumn("kept", spans.overlap_fold(F.col("hits")))
+    shape = lambda df: {(r.doc_id, h.layer, h.type, h.offset, h.length, h.match) for r in df.collect() for h in r.kept}
+    assert shape(folded) == shape(detect.detect(docs, rules)) and len(shape(folded)) > 150
+
+
+def test_gate_passes_every_name(spark):
+    """No text with a name is kept back in the JVM."""
+    texts = ["Frau Müller", "met Lukas Fischer", "getAnnaMueller", "anna_weber_key", "by Erika Zimmermann", "Reviewer: Tom Hallberg", "Herr Oberhuber", "plain words only", "Thomas"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    passed = {r.doc_id for r in docs.where(F.col("text").rlike(names.gate())).collect()}
+    assert {i for i, t in enumerate(texts) if names.find_names(t)} <= passed and 7 not in passed
+
+
+def test_streaming_query(spark, tmp_path):
+    """The stateful query on files: a pseudonym over two batches is restored, the rest comes with the end."""
+    schema = "stream_id long, block_index int, seq long, kind string, text string, is_end boolean"
+    for row in [(1, 0, 0, "text", "Hello Person Al", False), (1, 0, 1, "text", "pha, bye", True)]:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        live = stream.rehydrate_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), {"Person Alpha": "Anna Weber"})
+        # One batch a start: a processing-time timeout makes empty batches for ever otherwise.
+        query = live.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").outputMode("append").trigger(once=True).start()
+        assert query.awaitTermination(120)
+    got = sorted((r.seq, r.text) for r in spark.read.schema(stream.SCHEMA).parquet(f"{tmp_path}/out").collect())
+    assert "".join(t for _, t in got) == "Hello Anna Weber, bye"
+
+
+@pytest.mark.parametrize("name", ["find_email", "find_token_secret", "scan_totals", "audit_chain_verify", "rehydrate_cases", "anonymise_cases", "audit_verify_files", "code_bodies", "store_runs"])
 def test_sql_twins(spark, name):
     folder = "/root/testdata/sf0.001"
     df = catalogue.QUERIES[name](spark, folder)

@@ -7,10 +7,35 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-# Look-alike characters and the ASCII letters that they stand for.
-CONFUSABLES = dict(zip("АВЕЅІЈКМНОРСТУХаеорсухіјѕΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορ", "ABESIJKMHOPCTYXaeopcyxijsABEZHIKMNOPTYXavop", strict=True))
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+# Look-alike characters (code points) and the ASCII characters that they stand for.
+# fmt: off
+CONFUSABLES = {chr(k): v for k, v in {
+    # Latin letters that NFKC leaves alone
+    0x017F: "s", 0x0131: "i", 0x0130: "i",
+    # Cyrillic small letters
+    0x0430: "a", 0x0435: "e", 0x043E: "o", 0x0440: "p", 0x0441: "c", 0x0445: "x", 0x0443: "y", 0x0456: "i", 0x0458: "j", 0x0455: "s", 0x04BB: "h", 0x051B: "q", 0x051D: "w",
+    # Cyrillic capitals
+    0x0410: "A", 0x0412: "B", 0x0415: "E", 0x041A: "K", 0x041C: "M", 0x041D: "H", 0x041E: "O", 0x0420: "P", 0x0421: "C", 0x0422: "T", 0x0425: "X", 0x0423: "Y", 0x0406: "I", 0x0408: "J", 0x0405: "S", 0x0417: "3",
+    # Greek small letters
+    0x03BF: "o", 0x03B1: "a", 0x03C1: "p", 0x03C5: "u", 0x03C7: "x",
+    # Greek capitals
+    0x0391: "A", 0x0392: "B", 0x0395: "E", 0x0396: "Z", 0x0397: "H", 0x0399: "I", 0x039A: "K", 0x039C: "M", 0x039D: "N", 0x039F: "O", 0x03A1: "P", 0x03A4: "T", 0x03A5: "Y", 0x03A7: "X",
+    # Letter-like symbols
+    0x210D: "H", 0x210E: "h", 0x2115: "N", 0x2124: "Z", 0x2128: "Z", 0x212F: "e", 0x2130: "E", 0x2131: "F", 0x2133: "M", 0x2134: "o", 0x2139: "i", 0x211D: "R",
+    # Armenian
+    0x0555: "O", 0x0585: "o", 0x054F: "S", 0x057D: "s",
+    # Cherokee
+    0x13A0: "A", 0x13A3: "D", 0x13A6: "E", 0x13B3: "L", 0x13B7: "M", 0x13D9: "V", 0x13DE: "T",
+    # Old Italic
+    0x10300: "A", 0x10302: "C", 0x10304: "E", 0x10308: "I", 0x1030A: "K", 0x1030E: "M", 0x1030F: "O", 0x10310: "P", 0x10317: "V", 0x1031A: "X",
+    # Gothic
+    0x10330: "A", 0x10343: "G", 0x10349: "R", 0x1034A: "S",
+    # Deseret
+    0x10400: "E", 0x1040D: "S",
+}.items()}
+# fmt: on
 #: Invisible characters: format controls, variation selectors, fillers.
 FORMAT_CHARS = r"[\p{Cf}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{034F}]"
 
@@ -90,14 +115,15 @@ def clusters(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def normalize_with_positions(text: str) -> tuple[str, list[int]]:
-    """Normalised text, and for each of its characters the start of the cluster that it came from."""
-    parts, at = [], []
+def normalize_with_positions(text: str) -> tuple[str, list[int], list[int]]:
+    """Normalised text, and for each of its characters the start and the end of the cluster that it came from."""
+    parts, at, to = [], [], []
     for start, cluster in clusters(text):
         n = _normalize(cluster)
         parts.append(n)
         at += [start] * len(n)
-    return "".join(parts), at
+        to += [start + len(cluster)] * len(n)
+    return "".join(parts), at, to
 
 
 @F.pandas_udf(StringType())
@@ -105,6 +131,36 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else _normalize(t))
 
 
+def is_plain(text: Column) -> Column:
+    """Only ASCII and composed Latin-1 letters: normalisation leaves such a text as it is."""
+    return ~text.rlike(r"[^\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]")
+
+
 def normalize_for_detection(text: Column) -> Column:
-    """Format characters off, NFKC, confusables folded. ASCII text, most of it, never goes to Python."""
-    return F.when(is_ascii(text), text).otherwise(_nfkc(F.when(~is_ascii(text), text)))
+    """Format characters off, NFKC, confusables folded. Plain text, most of it, never goes to Python."""
+    return F.when(is_plain(text), text).otherwise(_nfkc(F.when(~is_plain(text), text)))
+
+
+_READ = StructType([StructField("norm", StringType()), StructField("at", ArrayType(IntegerType())), StructField("to", ArrayType(IntegerType()))])
+
+
+@F.pandas_udf(_READ)
+def _with_positions(texts: pd.Series) -> pd.DataFrame:
+    rows = [(None, None, None) if t is None else normalize_with_positions(t) for t in texts]
+    return pd.DataFrame(rows, columns=["norm", "at", "to"])
+
+
+def detection_text(text: Column) -> Column:
+    """struct<norm, at, to>: what detectors read; at and to are null where it is the text itself."""
+    return F.when(is_plain(text), F.struct(text.alias("norm"), F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("array<int>").alias("to"))).otherwise(_with_positions(F.when(~is_plain(text), text)))
+
+
+def normalize_for_names(text: Column) -> Column:
+    """For name recognition: zero-width characters become spaces, every character is composed for itself."""
+    spaced = F.translate(text, "\u200b\u200c\u200d\ufeff", "    ")
+    return F.when(is_plain(text), text).otherwise(_nfkc_each(F.when(~is_plain(text), spaced)))
+
+
+@F.pandas_udf(StringType())
+def _nfkc_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", c) for c in t))

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 
 # Keys whose values stay as they are, and headers that pass through.
 SCALAR_KEYS = {"model", "max_tokens", "stream", "temperature", "top_p", "top_k", "n", "presence_penalty", "frequency_penalty", "logit_bias", "seed", "tool_choice"}
-PASSTHROUGH = ["authorization", "x-api-key", "content-type", "content-length", "content-encoding", "transfer-encoding", "accept", "accept-encoding", "accept-language", "connection", "host", "cache-control", "pragma"]
+PASSTHROUGH = ["authorization", "x-api-key", "anthropic-version", "anthropic-beta", "openai-organization", "openai-project", "openai-beta", "content-type", "content-length", "content-encoding", "transfer-encoding", "accept", "accept-encoding", "accept-language", "connection", "host", "cache-control", "pragma"]
 
 
 def walk(value, change: Callable[[str], str], key: str | None = None):

@@ -6,6 +6,7 @@ The dictionaries are our own small lists of common names; more come by parameter
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
 
 import pandas as pd
@@ -15,13 +16,19 @@ from pyspark.sql import functions as F
 # Common given and family names, family-name endings, words that are no names.
 FIRST = set("anna ben carla david elena emma erik felix finn greta hanna hans ida jan jonas julia karl klaus lara laura lea lena leon lisa lukas maria marie martin max maria mia michael moritz nina noah nora olga oskar otto paul paula peter petra robert sara sarah simon sofia stefan thomas tim tobias tom ulrich ute walter alice bob charles daniel edward frank george henry james jane john kate linda mark mary nancy oliver patrick richard susan william pierre jean claire luc camille antoine chloe juan carlos pablo carmen lucia jose miguel".split())
 LAST = set("müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann schäfer koch bauer richter klein wolf schröder neumann schwarz zimmermann braun krüger hofmann hartmann lange schmitt werner krause meier lehmann smith johnson brown jones miller davis wilson anderson taylor moore jackson white harris clark lewis walker hall young king wright garcia martinez lopez gonzalez perez sanchez ramirez torres dubois moreau laurent simon michel lefebvre leroy roux".split())
-ENDINGS = ("mann", "berger", "meier", "mayer", "stein", "sen", "sson", "ski", "sky", "ova", "ovic", "escu")
-BLOCK = set("person sehr dear hello the this that and with from team service support user order alpha beta gamma delta epsilon zeta theta kappa lambda omega monday friday january march april june july august".split())
+ENDINGS = ("mann", "stein", "berg", "burg", "ner", "ler", "ger", "meyer", "meier", "maier", "müller", "mayer", "bauer", "huber", "feld", "dorf", "hof", "bach", "brück", "thal", "wald", "witz", "rath", "hagen", "kamp")
+BLOCK = set("herr frau hr fr mr mrs ms dr prof ing person sehr dear hello the this that and with from team service support user order alpha beta gamma delta epsilon zeta theta kappa lambda omega monday friday january march april june july august".split())
 NOUNS = set("manager service factory handler controller repository builder client server helper util test model view".split())
 # Scripts and the lengths of their runs.
 SCRIPTS = {"Han|IsHangul|IsHiragana|IsKatakana": (2, 8), "Arabic|IsHebrew|IsCyrillic|IsThai|IsDevanagari": (4, 20)}
-
-_PREFIX = re.compile(r"(?:(?:Herr|Frau|Mr\.?|Mrs\.?|Ms\.?|Dr\.|Prof\.)|(?:Author|Reviewer|Assignee|Owner):|Signed-off-by:|(?<!\w)(?:von|by|from)(?!\w)|@author)\s+((?:[A-ZÄÖÜÀ-Þ][\w'’-]+\s*){1,4})")
+# The words in front of a name.
+TITLES = r"Herr|Frau|Hr\.|Fr\.|Mr\.?|Mrs\.?|Ms\.?"
+DEGREES = r"Dr\.|Prof\.|Ing\."
+ROLES = r"Author|Autor|Reviewer|Maintainer|Erstellt von|Geprüft von|Bearbeiter|Ansprechpartner|Kontakt|Verantwortlich|Assignee|Owner"
+TRAILERS = r"Signed-off-by|Reported-by|Reviewed-by|Co-authored-by"
+TAGS = r"@author|@since|@reviewer"
+
+_PREFIX = re.compile(rf"(?:(?<!\w)(?:{TITLES}|{DEGREES})\s+|(?<!\w)(?i:{ROLES}|{TRAILERS}):\s*|(?<!\w)(?:von|by|from)\s+|(?i:{TAGS})\s+)(?:(?:{DEGREES})\s+)*((?:[A-ZÄÖÜÀ-Þ][\w'’-]+\s*){{1,4}})")
 _RUN = re.compile(r"[A-ZÄÖÜÀ-Þ][a-zäöüßà-ÿ'’-]+(?:[ \t]+[A-ZÄÖÜÀ-Þ][a-zäöüßà-ÿ'’-]+)+")
 _IDENT = re.compile(r"(?<!\w)[A-Za-z][A-Za-z0-9_-]{6,}(?!\w)")
 _GUARD = re.compile(r"(?:class|const|let|var|function|def|interface|enum|import|package|new|type)\s+$")
@@ -40,7 +47,7 @@ def is_first(word: str, names: set[str] = FIRST) -> bool:
 
 def is_last(word: str, names: set[str] = LAST) -> bool:
     low = word.lower()
-    return low in names or _plain(word) in names or any(low.endswith(e) and len(low) >= len(e) + 2 for e in ENDINGS)
+    return low in names or _plain(word) in names or len(low) >= 4 and low.endswith(ENDINGS) and any(low.endswith(e) and len(low) >= len(e) + 2 for e in ENDINGS)
 
 
 def _guarded(text: str, start: int, end: int) -> bool:
@@ -94,14 +101,43 @@ def find_names(text: str) -> list[tuple[int, int, str, float]]:
 _SCHEMA = "doc_id long, offset long, length long, name string, confidence double"
 
 
+def _trie(words: Iterable[str]) -> str:
+    """One pattern for many words, by their common beginnings: a word costs its letters, not the number of words."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def spell(at: dict) -> str:
+        ways = [re.escape(c) + spell(at[c]) for c in sorted(at) if c]
+        inner = ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+        return "" if not ways else f"(?:{inner})?" if "" in at else inner
+
+    return spell(tree)
+
+
+def gate() -> str:
+    """A pattern that every text with a Latin name has: a word or hump of the dictionaries, or a family-name ending."""
+    spelled = {w.replace("ä", "ae").replace("ö", "oe").replace("ü", "ue") for w in FIRST | LAST}
+    word = rf"(?:(?<![a-zß-ÿ])|(?=[A-ZÀ-Þ]))(?iu:{_trie(FIRST | LAST | spelled)})(?![a-zß-ÿ])"
+    return rf"{word}|(?u)[A-ZÀ-Þ][\wÀ-ÿ'’-]+(?:{'|'.join(ENDINGS)})(?![a-zß-ÿ])"
+
+
+def normalize(text: str) -> str:
+    """Zero-width characters become spaces, every other character is composed for itself."""
+    return "".join(" " if c in "\u200b\u200c\u200d\ufeff" else unicodedata.normalize("NFKC", c) for c in text)
+
+
 def detect_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]):
         for part in batches:
             rows = [(i, *hit) for i, t in zip(part["doc_id"], part["text"], strict=True) if t for hit in find_names(t)]
             yield pd.DataFrame(rows, columns=["doc_id", "offset", "length", "name", "confidence"])
 
-    # Only texts with a capital letter can have a Latin name: the others never leave the JVM.
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"\p{Lu}"))
+    # Texts without any word or ending of the dictionaries never leave the JVM.
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(gate()))
     return plain.mapInPandas(run, _SCHEMA)
 
 

@@ -15,23 +15,78 @@ from .pseudonyms import REDACTED
 _FORMAT = re.compile("[­​-‏‪-‮⁠-⁤﻿︀-️ᅟᅠㅤﾠ͏]")
 
 
+def _trie(words: list[str]) -> str:
+    """One pattern for many words: by common beginnings, the longest first, so its cost doesn't grow with their number.
+    A word that ends in a letter or digit must not go on in lower case or digits."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = word[-1]
+
+    def spell(at: dict) -> str:
+        ways = [re.escape(c) + spell(at[c]) for c in sorted(c for c in at if c)]
+        if "" in at:
+            ways.append("(?![a-z0-9])" if re.match("[A-Za-z0-9]", at[""]) else "")
+        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+    return spell(tree)
+
+
+_HEX = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:]*(?![0-9A-Za-z:.])")
+
+
+def _address(text: str) -> str | None:
+    """The full form of an IPv6 address."""
+    import ipaddress
+
+    try:
+        return ipaddress.IPv6Address(text).exploded
+    except ValueError:
+        return None
+
+
 class Rehydrator:
-    """Longest pseudonym first, word edges where it begins or ends in word characters, at most ten passes."""
+    """Longest pseudonym first, word edges where it begins or ends in word characters, at most ten passes.
+
+    Originals that are no pseudonym themselves are left alone where they stand: a pseudonym inside one is none. IPv6
+    pseudonyms are known in all their spellings.
+    """
 
     def __init__(self, pairs: dict[str, str], allowed: set[str] | None = None, passes: int = 10):
-        self.pairs = {p: o for p, o in pairs.items() if p != REDACTED and (allowed is None or p in allowed)}
-        edge = lambda p: (r"(?<![A-Za-z0-9_])" if re.match("[A-Za-z0-9_]", p) else "") + re.escape(p) + ("(?![a-z0-9])" if re.search("[A-Za-z0-9]$", p) else "")
-        order = sorted(self.pairs, key=lambda p: (-len(p), p))
-        self.pattern = re.compile("|".join(map(edge, order))) if order else None
+        self.pairs = {p: o for p, o in pairs.items() if p and p != REDACTED and (allowed is None or p in allowed)}
+        words, others = ([p for p in sorted(self.pairs) if bool(re.match("[A-Za-z0-9_]", p)) == w] for w in (True, False))
+        ways = [w for w in (words and "(?<![A-Za-z0-9_])" + _trie(words), others and _trie(others)) if w]
+        self.pattern = re.compile("|".join(ways)) if ways else None
+        self.addresses = {a: o for p, o in self.pairs.items() if (a := _address(p))}
+        own = sorted({o for o in self.pairs.values() if o and o not in self.pairs and self.pattern.search(o)}, key=lambda o: (-len(o), o))
+        self.guarded = re.compile("|".join(map(re.escape, own))) if own else None
         self.passes = passes
-        self.longest = max(map(len, order), default=0)
+        self.longest = max(map(len, self.pairs), default=0)
+
+    def spans(self, text: str) -> list[tuple[int, int, str]]:
+        """(start, end, original) of what a pass replaces: the earliest, of these the longest."""
+        safe = [m.span() for m in self.guarded.finditer(text)] if self.guarded else []
+        found = [(*m.span(), self.pairs[m[0]]) for m in self.pattern.finditer(text)]
+        if self.addresses:
+            found += [(*m.span(), self.addresses[a]) for m in _HEX.finditer(text) if (a := _address(m[0])) in self.addresses and self.addresses[a] != m[0]]
+        out: list[tuple[int, int, str]] = []
+        for start, end, original in sorted(found, key=lambda h: (h[0], -h[1])):
+            if (not out or start >= out[-1][1]) and not any(a <= start and end <= b for a, b in safe):
+                out.append((start, end, original))
+        return out
 
     def __call__(self, text: str | None) -> str | None:
         if text is None or self.pattern is None:
             return text
         text = _FORMAT.sub("", text)
         for _ in range(self.passes):
-            new = self.pattern.sub(lambda m: self.pairs[m[0]], text)
+            parts, at = [], 0
+            for start, end, original in self.spans(text):
+                parts += [text[at:start], original]
+                at = end
+            new = "".join(parts) + text[at:]
             if new == text:
                 break
             text = new

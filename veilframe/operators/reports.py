@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Types that presets switch on, and types that are always off for the third-party rule set.
-PRESETS = {"hipaa": ["ssn", "driving-licence-us", "passport-us"], "ccpa": ["ssn", "driving-licence-us", "passport-us"], "healthcare": ["ssn"], "pci-dss": ["credit-card"], "finance": ["credit-card"]}
-GATED = ["ssn", "driving-licence-us", "driving-licence-uk", "passport-us", "passport-uk", "uk-national-insurance", "canadian-sin", "australian-tfn", "australian-medicare", "indian-aadhaar", "indian-pan", "brazilian-cpf", "brazilian-cnpj", "mexican-curp", "mexican-rfc", "south-korean-rrn", "south-africa-id"]
+# Gated types, those that presets switch on, and types that are always off for an external rule set.
+GATED = ["australian-medicare", "australian-tfn", "canadian-sin", "brazilian-cpf", "brazilian-cnpj", "mexican-curp", "mexican-rfc", "south-korean-rrn", "south-africa-id", "indonesia-nik", "india-aadhaar", "india-pan", "hungarian-tax-id", "hungarian-personal-id", "ssn", "driving-license-us", "passport-us"]
+PRESETS = {"hipaa": ["ssn", "driving-license-us", "passport-us"], "ccpa": ["ssn", "driving-license-us", "passport-us"], "healthcare": ["ssn"], "pci-dss": [], "finance": [], "gdpr": []}
+CARD_PRESETS = ["pci-dss", "finance"]
 ALWAYS_OFF = ["zip-code-us", "zip-code", "date", "instagram-username", "twitter-username", "tiktok-username", "facebook-username", "social-media-username", "name", "person-name", "phone", "heroku-api-key"]
 
 

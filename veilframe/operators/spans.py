@@ -8,46 +8,100 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.detectors import CHECKS, RULES, SECRETS, Rule
+from ..functions.text import detection_text
 
 HIT = "array<struct<layer:string,type:string,ord:int,offset:int,length:int,match:string>>"
+HIT_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n in ("ord", "offset", "length") else T.StringType()) for n in ("layer", "type", "ord", "offset", "length", "match")]))
 _RANK = {"secrets": 0, "config": 1, "identity": 2, "names": 3, "code": 4}
+_CHUNK = 64
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once: a lambda's free expressions are computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(lens: Column, body) -> Column:
+    """body(sum_to), where sum_to(i) is the sum of lens[0..i]: in chunks, so that n sums cost n times a chunk."""
+    total = lambda c: F.aggregate(F.slice(lens, c * _CHUNK + 1, F.lit(_CHUNK)), F.lit(0), lambda a, x: a + x)
+    sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(lens) / _CHUNK).cast("int")), total)
+    before = F.aggregate(sums, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def sum_to(base: Column):
+        return lambda i: F.get(base, F.floor(i / _CHUNK).cast("int")) + F.aggregate(F.slice(lens, F.floor(i / _CHUNK).cast("int") * _CHUNK + 1, F.pmod(i, F.lit(_CHUNK)) + 1), F.lit(0), lambda a, x: a + x)
+
+    return _let(before, lambda base: body(sum_to(base)))
 
 
 def hits(text: Column, rule: Rule) -> Column:
     """The rule's findings in order. The gaps between matches give the offsets."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(1)) if rule.value else whole
-    gaps = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole))
-    parts = F.arrays_zip(gaps.alias("g"), whole.alias("w"), value.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(HIT).alias("out"))
+    zipped = F.arrays_zip(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(whole)).alias("g"), whole.alias("w"), value.alias("v"))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x["g"]) + F.length(x["w"])
-        one = F.struct(F.lit(rule.layer).alias("layer"), F.lit(rule.type).alias("type"), F.size(acc["out"]).alias("ord"), (end - F.length(x["v"])).alias("offset"), F.length(x["v"]).alias("length"), x["v"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def one(p: Column, i: Column, end: Column) -> Column:
+        # With grow, whole words that end where the match begins belong to it.
+        run = F.regexp_replace(p["g"], rf"(?s)^.*[^{rule.grow}\s]", "") if rule.grow else None
+        ahead = F.when(run.rlike(r"\s$"), F.ltrim(run, F.lit(" \t\n\x0b\x0c\r"))).otherwise("") if rule.grow else F.lit("")
+        match = F.concat(ahead, p["v"]) if rule.grow else p["v"]
+        return F.struct(F.lit(rule.layer).alias("layer"), F.lit(rule.type).alias("type"), i.alias("ord"), (end - F.length(match)).alias("offset"), F.length(match).alias("length"), match.alias("match"))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    def placed(parts: Column) -> Column:
+        lens = F.transform(parts, lambda p: F.length(p["g"]) + F.length(p["w"]))
+        return _let(lens, lambda n: _running(n, lambda sum_to: F.transform(parts, lambda p, i: one(p, i, sum_to(i)))))
+
+    found = _let(zipped, placed)
     if rule.check:
         found = F.filter(found, lambda h: CHECKS[rule.check](h["match"]))
     found = F.filter(found, lambda h: h["length"] > 0)
-    tests = [t for t in (text.contains(rule.needs) if rule.needs else None, text.rlike(rule.gate) if rule.gate else None) if t is not None]
-    # Conditions are evaluated before the branch: most texts never run the pattern itself.
-    return F.when(tests[0] if len(tests) == 1 else tests[0] & tests[1], found).otherwise(F.array().cast(HIT)) if tests else found
+    # Conditions are evaluated before the branch: most texts are through after a plain substring or a short pattern, and
+    # those without a match after one pass of the pattern.
+    test = text.rlike(rule.pattern)
+    for t in (rule.gate and text.rlike(rule.gate), rule.needs and text.contains(rule.needs)):
+        test = t & test if t is not None and t is not False else test
+    return F.when(test, found).otherwise(F.array().cast(HIT))
 
 
-def literal_hits(text: Column, literal: str, kind: str) -> Column:
-    """A configured company, domain or person, anywhere in the text."""
+def literal_rules(company: str | None = None, domains: list[str] = (), people: list[str] = ()) -> list[Rule]:
+    """Configured names as rules, longest first; a person of two words counts with the words swapped, too."""
     import re
 
-    return hits(text, Rule(kind, re.escape(literal), "config", needs=literal))
+    from ..functions.text import _normalize
+
+    given = [(company, "company")] * bool(company) + [(d, "domain") for d in domains] + [(p, "person") for p in people]
+    out = []
+    for value, kind in sorted(given, key=lambda x: -len(x[0])):
+        words = value.split()
+        for form in dict.fromkeys([value, " ".join(reversed(words))] if kind == "person" and len(words) == 2 else [value]):
+            plain = _normalize(form)
+            out.append(Rule(kind, re.escape(plain), "config", needs=plain))
+    return out
+
+
+def _original(found: Column, text: Column, read: Column) -> Column:
+    """Findings in the normalised text, back on the original: whole clusters, and the original's characters."""
+
+    def back(h: Column) -> Column:
+        start = F.get(read["at"], h["offset"])
+        size = F.get(read["to"], h["offset"] + h["length"] - 1) - start
+        return F.struct(h["layer"].alias("layer"), h["type"].alias("type"), h["ord"].alias("ord"), start.alias("offset"), size.alias("length"), F.substring(text, start + 1, size).alias("match"))
+
+    return F.when(read["at"].isNull(), found).otherwise(F.transform(found, back))
 
 
-def with_hits(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
-    """docs with `hits`: all findings of all rules, layer by layer."""
-    found = [F.coalesce(hits(F.col(text_col), r), F.array().cast(HIT)) for r in (rules or [*SECRETS, *RULES])]
-    return docs.withColumn("hits", F.concat(*found) if len(found) > 1 else found[0])
+def with_hits(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text", normalise: bool = True) -> DataFrame:
+    """docs with `hits`: all findings of all rules, layer by layer, in the normalised text, placed in the original."""
+    chosen = rules or [*SECRETS, *RULES]
+    if not normalise:
+        found = [F.coalesce(hits(F.col(text_col), r), F.array().cast(HIT)) for r in chosen]
+        return docs.withColumn("hits", F.concat(*found) if len(found) > 1 else found[0])
+    read = docs.withColumn("read_", detection_text(F.col(text_col)))
+    found = [F.coalesce(hits(F.col("read_.norm"), r), F.array().cast(HIT)) for r in chosen]
+    whole = F.concat(*found) if len(found) > 1 else found[0]
+    return read.withColumn("hits", _original(whole, F.col(text_col), F.col("read_"))).drop("read_")
 
 
 def overlap_fold(found: Column) -> Column:
