@@ -250,6 +250,21 @@ def test_shards_near_equal(spark):
     assert len(sums) == 40 and max(sums) < 1.05 * min(sums)
 
 
+def test_shards_of_equal_rows(spark):
+    """4,000 rows of null id and null text: the law of near equal bytes holds for them too."""
+    rows = spark.range(4000).selectExpr("cast(null as long) doc_id", "cast(null as string) text", "cast(null as string) lang", "cast(null as string) source")
+    got = sharding.kd_shards(rows, 4).collect()
+    for shard in range(4):
+        own = sorted(r.slot for r in got if r.shard == shard)
+        assert own == list(range(len(own))) and abs(len(own) - 1000) <= 10
+
+
+def test_shards_of_target_bytes(spark):
+    df = spark.range(1000).selectExpr("id doc_id", "repeat('x', 84) text")
+    sums = [r.s for r in sharding.kd_shards(df, target_bytes=12_500).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sums) == 8 and max(sums) <= 1.02 * 12_500
+
+
 def test_licences(spark):
     texts = ["Released under the terms of the MIT License.", "This program is licensed under the GNU Lesser General Public License, version 3.", "mit license, MIT-License", "Licensed under CC BY-NC 4.0", "unlicensed", None]
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
