@@ -1,11 +1,10 @@
 """Language ID by compression: the language whose dictionary shortens a text most wins.
 
-Texts are folded first: lower case, and every run of other characters than letters is one space. Fit: per language,
-folded texts of a bounded sample of labelled rows (max_docs rows of the least id hash, doc_bytes characters of each,
-dict_bytes in all) are the raw content of a zstandard dictionary. Predict: every block of the whole folded text is
-encoded with each dictionary; the sums of the sizes are compared. Short texts, whose matches are few, are encoded at a
-higher level. A run of blanks before every block keeps the encoder from storing it raw, which would hide all
-differences. A narrow margin between the two smallest sums is a rejection.
+Texts are folded first: lower case, and every run of other characters than letters is one space. Fit: per language, the
+whole folded texts of a bounded sample of labelled rows (max_docs rows of the least id hash) are the raw content of a
+zstandard dictionary. Predict: every block of the whole folded text is encoded with each dictionary, all at one level, and
+the sums of the sizes are compared. A run of blanks before every block keeps the encoder from storing it raw, which would
+hide all differences. A narrow margin between the two smallest sums is a rejection.
 
 Rows: null text or a text without a letter is `und`, score 0, rejected. Ties go to the language with most labelled rows, then the first by name. A null
 id stays null, repeated rows get equal answers, an empty table gives no rows, other columns are ignored. Without any
@@ -15,6 +14,7 @@ labelled row the model is empty and every text is `und`.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,38 +35,32 @@ def fold(text) -> Column:
 
 def fit(
     labelled: DataFrame,
-    max_docs: int = 300,
-    doc_bytes: int = 1024,
-    dict_bytes: int = 110_000,
+    max_docs: int = 100,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> dict[str, bytes]:
-    """Language to dictionary content, most frequent language first, from at most max_docs labelled rows of each."""
+    """Language to dictionary content, most frequent language first, from the whole texts of max_docs labelled rows of
+    each (rows without a letter count too). One pass ranks ids, without texts, the other reads the chosen rows' texts."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    rows = rows.where("l is not null")
+    rows = rows.where("l is not null and i is not null")
     langs = [r.l for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").collect()]
-    ids = {r.i for lang in langs for r in rows.where(F.col("l") == lang).select("i").orderBy(F.xxhash64("i"), "i").limit(max_docs).collect()}
-    ids.discard(None)
-    found = rows.where(F.col("i").isin(sorted(ids)) & F.col("t").isNotNull()).select("i", "l", F.substring(fold(F.col("t")), 1, doc_bytes).alias("t")).where("t != ''")
+    # Ranks beyond the bound are cut in every partition before the shuffle, so a hot language is no hot task.
+    ranked = rows.selectExpr("i", "l", "row_number() over (partition by l order by xxhash64(i), i) as r").where(F.col("r") <= max_docs)
+    ids = sorted({r.i for r in ranked.select("i").collect()})
+    found = rows.where(F.col("i").isin(ids) & F.col("t").isNotNull()).select("i", "l", fold(F.col("t")).alias("t")).where("t != ''").distinct()
     texts: dict[str, dict[str, None]] = {lang: {} for lang in langs}
-    for r in found.orderBy(F.xxhash64("i"), "i", "l", "t").limit(max_docs * max(1, len(langs))).collect():
+    for r in sorted(found.collect(), key=lambda r: (zlib.crc32(str(r.i).encode()), r.i, r.l, r.t)):
         texts[r.l].setdefault(r.t)
-    out = {}
-    for lang in langs:
-        content = " ".join(texts[lang]).encode()[-dict_bytes:]
-        if len(content) >= 8:
-            out[lang] = content
-    return out
+    content = {lang: " ".join(texts[lang]).encode() for lang in langs}
+    return {lang: c for lang, c in content.items() if len(c) >= 8}
 
 
 def predict(
     docs: DataFrame,
     model: dict[str, bytes],
     block_bytes: int = 4096,
-    level: int = 3,
-    short_bytes: int = 512,
-    short_level: int = 19,
+    level: int = 6,
     min_margin_bytes: int = 1,
     min_margin: float = 0.004,
     id_col: str = "doc_id",
@@ -80,13 +74,11 @@ def predict(
     def run(batches):
         import zstandard as zstd
 
-        def packers(at):
-            for lang in langs:
-                content = zstd.ZstdCompressionDict(given.value[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                content.precompute_compress(level=at)
-                yield zstd.ZstdCompressor(level=at, dict_data=content, write_content_size=False, write_checksum=False).compress
-
-        long, short = list(packers(level)), list(packers(short_level))
+        packers = []
+        for lang in langs:
+            content = zstd.ZstdCompressionDict(given.value[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(level=level)
+            packers.append(zstd.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False).compress)
         for part in slices(batches, rows=2048, max_bytes=16 << 20):
             ids, texts = part.column(0), part.column(1)
             pred, score, margin, accepted = [], [], [], []
@@ -96,7 +88,7 @@ def predict(
                     pred.append(UND), score.append(0.0), margin.append(0), accepted.append(False)
                     continue
                 blocks = [_LEAD + raw[i : i + block_bytes] for i in range(0, len(raw), block_bytes)]
-                sizes = [sum([len(pack(b)) for b in blocks]) for pack in (short if len(raw) <= short_bytes else long)]
+                sizes = [sum([len(pack(b)) for b in blocks]) for pack in packers]
                 best = int(np.argmin(sizes))
                 rest = sorted(sizes)
                 gap = (rest[1] - rest[0]) if len(rest) > 1 else rest[0]
