@@ -47,6 +47,12 @@ def payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     return rows.withColumn("digest", F.sha2("payload", 256))
 
 
+def _place(page_id: Column, url: Column, html: Column) -> Column:
+    """Where a record is sorted: its id; without one, a place in front by a hash, so that such rows are no hot key."""
+    spread = F.shiftrightunsigned(F.xxhash64(url.cast("string"), F.coalesce(html.cast("string").cast("binary"), F.lit(b""))), 2)
+    return F.coalesce(page_id, F.lit(_NO_ID) + spread)
+
+
 def revisits(rows: DataFrame, min_revisit: int = 100) -> DataFrame:
     """page_id, digest and refers_to of the payloads that are revisits, each once."""
     can = rows.where((F.octet_length("payload") >= min_revisit) & (F.col("page_id") != _NO_ID)).select("page_id", "digest")
@@ -109,17 +115,18 @@ def _histogram(narrow: DataFrame, ranges: list[tuple[int, int, int]]) -> DataFra
     return narrow.mapInArrow(count, "begin long, w long").groupBy("begin").agg(F.sum("w").alias("w"))
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record, not compressed."""
+def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None, nth: int = 0) -> bytes:
+    """One WARC record, not compressed. nth: how many records of the page's id and payload (without an id: and of its
+    address) come before it; so every record has an id of its own, and a revisit names the first of its response's."""
     uri = url or f"urn:page:{page_id}"
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}')}>"
+    name = lambda i, n: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{i}:{digest}:{uri if i == _NO_ID else ''}:{n}')}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     sha1 = base64.b32encode(hashlib.sha1(block).digest()).decode()
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {_DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name(page_id, nth)}", f"WARC-Date: {_DATE}"]
     head += [f"WARC-Target-URI: {uri.encode('unicode_escape').decode()}", f"X-Page-Id: {page_id}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}", f"WARC-Block-Digest: sha1:{sha1}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to, 0)}", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -142,7 +149,8 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes
     rows = payloads(pages, **columns)
     # The bounds need ids and lengths only, from the table itself.
     id_col, html_col = columns.get("id_col", "page_id"), columns.get("html_col", "html")
-    sizes = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("page_id"), (F.coalesce(F.octet_length(F.col(html_col).cast("string")), F.lit(0)) + 512).alias("w"))
+    url_col = columns.get("url_col", "url")
+    sizes = pages.select(_place(F.col(id_col).cast("long"), F.col(url_col), F.col(html_col)).alias("page_id"), (F.coalesce(F.octet_length(F.col(html_col).cast("string")), F.lit(0)) + 512).alias("w"))
     bounds = range_shards(sizes, F.col("w"), shard_bytes)
     given = spark.sparkContext.broadcast(bounds)
 
@@ -153,12 +161,13 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes
 
     # A revisit's link travels to the shard as a row of its own and sorts before the records that it is about, so the
     # payloads are shuffled once.
-    kinds = "page_id long, digest string, refers_to long, url string, payload binary"
-    links = revisits(rows, min_revisit).select("page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
-    records = rows.select("page_id", "digest", F.lit(None).cast("long").alias("refers_to"), "url", "payload")
+    kinds = "place long, page_id long, digest string, refers_to long, url string, payload binary"
+    links = revisits(rows, min_revisit).select(F.col("page_id").alias("place"), "page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
+    own = F.when(F.col("page_id") != _NO_ID, F.col("page_id"))
+    records = rows.select(_place(own, F.col("url"), F.col("payload")).alias("place"), "page_id", "digest", F.lit(None).cast("long").alias("refers_to"), "url", "payload")
     placed = records.unionByName(links).mapInArrow(place, "shard int, " + kinds)
     # One partition per shard: hashes of few shard numbers would leave some tasks with several.
-    ordered = placed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").asc_nulls_last(), "url")
+    ordered = placed.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "place", "page_id", "digest", F.col("refers_to").asc_nulls_last(), "url")
 
     def store(batches):
         from pyspark import TaskContext
@@ -188,18 +197,20 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, file_bytes
             file["sha"].update(raw)
             file["size"] += len(raw)
 
-        about, refers = None, None
+        about, refers, nth = None, None, 0
         for part in slices(batches, rows=256):
-            for shard, page, digest, link, url, payload in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if (page, digest) != about:
-                    about, refers = (page, digest), link
+            for shard, _, page, digest, link, url, payload in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                what = (page, digest, url) if page == _NO_ID else (page, digest)
+                if what != about:
+                    about, refers, nth = what, link, 0
                 if payload is None:
                     continue
                 if now is None or now["shard"] != shard or now["size"] >= file_bytes:
                     number = now["number"] + 1 if now and now["shard"] == shard else 0
                     close()
                     now = begin(shard, number)
-                put(now, _member(record(page, url, payload, digest, refers), level))
+                put(now, _member(record(page, url, payload, digest, refers, nth), level))
+                nth += 1
                 now["records"] += 1
                 now["first"], now["last"] = page if now["first"] is None else now["first"], page
         close()
@@ -222,7 +233,7 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
-def members(stream, chunk: int = 1 << 20):
+def members(stream, chunk: int = 1 << 16):
     """The gzip members of a stream, each whole."""
     left = b""
     unpack, parts = zlib.decompressobj(31), []
