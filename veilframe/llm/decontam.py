@@ -12,7 +12,7 @@
    differs in at most 2 bits, so a join on (length, block, value) finds all of them.
 5. Candidates within the radius are verified: sum of minima over sum of maxima of the shingle counts, at least 0.8.
 
-The side of the benchmark is broadcast only if its shingles are counted and at most `broadcast_rows`; beyond that, the
+The side of the benchmark is broadcast only if its shingles, ids and listed block values are counted and at most `broadcast_rows` rows; beyond that, the
 joins are left to Spark. Null or empty texts and items match nothing; a null doc_id counts as one document and a null
 item_id as one item; repeated rows of a doc_id are matched as separate texts and reported once; empty tables give no
 rows; other columns are ignored.
@@ -49,14 +49,11 @@ def shingles_of(text: Column, k: int = K) -> Column:
 
 
 def _simhash(rows: DataFrame, key: list[str], shingle: str) -> DataFrame:
-    """key and fp: bit j is set if more than half of the weighted shingles have it. 16 sums of four 16-bit lanes.
-
-    Windows have fewer than 65,536 shingles; longer items are counted in the lanes modulo that, which can only cost
-    their fingerprints' precision.
-    """
-    lanes = [F.sum(F.expr(f"shiftrightunsigned({shingle}, {j}) & 281479271743489L")).alias(f"s{j}") for j in range(16)]
+    """key and fp: bit j is set if more than half of the weighted shingles have it. 32 sums of two 32-bit lanes, so texts
+    of up to 2**31 shingles are counted exactly."""
+    lanes = [F.sum(F.expr(f"shiftrightunsigned({shingle}, {j}) & 4294967297L")).alias(f"s{j}") for j in range(32)]
     sums = rows.groupBy(*key).agg(F.count("*").alias("n"), *lanes)
-    bits = [f"(case when 2 * (shiftrightunsigned(s{j}, {16 * i}) & 65535) > n then shiftleft(1L, {16 * i + j}) else 0L end)" for j in range(16) for i in range(4)]
+    bits = [f"(case when 2 * (shiftrightunsigned(s{j}, {32 * i}) & 4294967295L) > n then shiftleft(1L, {32 * i + j}) else 0L end)" for j in range(32) for i in range(2)]
     return sums.select(*key, F.expr(" | ".join(bits)).alias("fp"))
 
 
@@ -84,7 +81,10 @@ def find_contamination(
     item = scratch.table(item, "shingles").where("len > 0")
     item = scratch.table(item.groupBy("len", "sh").agg(F.collect_set(F.struct("item_id")).alias("ids"), F.min(F.coalesce("item_id", F.lit(-1))).alias("rank")).select("len", "sh", "ids", F.xxhash64("len", "sh", "rank").alias("item")), "items")
     places = scratch.table(item.select("len", F.explode("sh").alias("h")).distinct(), "places")
-    small = places.count() <= broadcast_rows
+    # What is broadcast: the places, the items with their ids, and the rows that list an item's block values.
+    listings = 8 * (1 + 8 + 28)
+    sizes = item.agg(F.coalesce(F.sum(F.lit(listings) + F.size("ids")), F.lit(0))).first()[0]
+    small = places.count() + sizes <= broadcast_rows
 
     def side(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if small else df
