@@ -36,6 +36,21 @@ TEMPLATES = {
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the Software.<<beginOptional>> THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND<<endOptional>>",
     "isc-text": "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "0bsd-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\"",
+    "bsd-2-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. <<beginOptional>>3. Neither the name of <<var;name=organisation;max=12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. <<endOptional>>THIS SOFTWARE IS PROVIDED BY <<var;name=holder;max=12>> \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES",
+    "bsd-3-clause-text": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. <<beginOptional>>3. <<endOptional>>Neither the name of <<var;name=organisation;max=12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the author<<beginOptional>>s<<endOptional>> be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "bsl-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software",
+    "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at <<beginOptional>>http<<endOptional>><<beginOptional>>https<<endOptional>>://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    "gpl-header": "is free software<<beginOptional>>;<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU <<beginOptional>>Lesser <<endOptional>><<beginOptional>>Library <<endOptional>><<beginOptional>>Affero <<endOptional>>General Public License as published by the Free Software Foundation; either version <<var;name=version;max=3>><<beginOptional>> of the License<<endOptional>>, or (at your option) any later version",
+    "gpl-only-header": "is free software<<beginOptional>>;<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License<<beginOptional>> v<<endOptional>><<beginOptional>>, v.<<endOptional>> 2.0",
+    "cc-by-sa-4.0": "Licensed under<<beginOptional>> a Creative Commons<<endOptional>> CC BY-SA 4.0",
+    "cc0-1.0-notice": "To the extent possible under law, <<var;name=author;max=12>> has waived all copyright and related or neighboring rights to<<beginOptional>> this work<<endOptional>>",
+    "wtfpl-text": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION",
+    "spdx-tag": "SPDX-License-Identifier: <<var;name=expression;max=1>>",
 }
 
 
