@@ -332,19 +332,6 @@ def test_held_out(spark):
     assert scored.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0] > 0.95
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    folder = "/root/testdata/sf0.001"
-    n, kept = None, spark.read.parquet(f"{folder}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, kept = kept, stage(spark, kept, folder)
-        n = kept.count()
-        assert kept.columns == corpus_pipeline.COLUMNS and 0 < n <= before.count(), name
-    packed = corpus_pipeline.run(spark, folder)
-    assert packed.select("doc_id").distinct().count() == n
-
-
 def test_sql_twins(spark, tmp_path):
     import duckdb
 
