@@ -159,9 +159,13 @@ def norm_fold_confusables(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.fold_confusables(F.col("text")).alias("text"))
 
 
-@query()
+_NFKC_CASES = {"\uff4cena \ufb01n": "lena fin", "p\u0430ss\u200bword": "password", "e\u0301": "é", "\u210bI\u2163": "HIIV"}
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents UNION ALL " + values_sql("doc_id BIGINT, text VARCHAR", [(-1 - i, t) for i, t in enumerate(_NFKC_CASES.values())]))
 def norm_nfkc(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_for_detection(F.col("text")).alias("text"))
+    """The documents are plain letters, which NFC leaves as NFKC does; the cases are not."""
+    return with_cases(table(spark, sf_dir, "documents"), list(_NFKC_CASES)).select("doc_id", T.normalize_for_detection(F.col("text")).alias("text"))
 
 
 @query("SELECT doc_id, strlen(text) = length(text) AS is_ascii FROM documents")
@@ -500,9 +504,11 @@ def api_format_detect(spark, sf_dir):
     return body.select("conv_id", jsonwalk.api_format(F.lit("/chat"), F.col("body")).alias("format"))
 
 
-@query()
+@query("""SELECT event_id, '{"type":"' || upper(event_type) || '","model":"' || event_type || '","props":' || replace(props, ': ', ':') || ',"tags":["' || upper(event_type) || '"]}' AS body FROM events""")
 def json_leaf_rewrite(spark, sf_dir):
-    return jsonwalk.rewrite_json(table(spark, sf_dir, "events").select("event_id", "props"), "props", str.upper)
+    """String leaves upper-cased, also in lists; an exempt scalar, keys and numbers stay."""
+    body = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "model": "'), "event_type", F.lit('", "props": '), "props", F.lit(', "tags": ["'), "event_type", F.lit('"]}'))
+    return jsonwalk.rewrite_json(table(spark, sf_dir, "events").select("event_id", body.alias("body")), "body", str.upper)
 
 
 @query("SELECT c_custkey, '[\"keep\"]' AS accept, '[\"X-' || c_custkey || '\"]' AS custom FROM customer")
@@ -523,7 +529,8 @@ def ner_names(spark, sf_dir):
     return names.detect_names(with_cases(table(spark, sf_dir, "documents"), names_cases))
 
 
-@query()
+@query(r"""SELECT doc_id, unnest(regexp_extract_all(text, '[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]{2,8}') || regexp_extract_all(text, '[\p{Arabic}\p{Hebrew}\p{Cyrillic}\p{Thai}\p{Devanagari}]{4,20}')) AS name FROM documents
+UNION ALL """ + values_sql("doc_id BIGINT, name VARCHAR", [(-4, "王小明"), (-4, "Дмитрий")]))
 def ner_other_scripts(spark, sf_dir):
     return names.other_scripts(with_cases(table(spark, sf_dir, "documents"), names_cases))
 
@@ -541,7 +548,11 @@ def glossary_suggest(spark, sf_dir):
     return code.suggest_terms(table(spark, sf_dir, "part").select(F.col("p_name").alias("identifier")), known)
 
 
-@query()
+_KEYWORDS = ", ".join(f"'{k}'" for k in sorted(code.KEYWORDS))
+
+
+@query(rf"""SELECT DISTINCT page_id AS doc_id, name AS identifier FROM (SELECT page_id, unnest(regexp_extract_all(html, '\b(?:class|interface|enum|type|function)\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1) || regexp_extract_all(html, '\b(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1)) AS name FROM pages)
+WHERE length(name) > 1 AND lower(name) NOT IN ({_KEYWORDS}) UNION ALL """ + values_sql("doc_id BIGINT, identifier VARCHAR", [(-1, "OrderService"), (-1, "total"), (-2, "chargeCard"), (-2, "amount")]))
 def code_identifiers(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
     return code.extract_identifiers(with_cases(pages, code_cases).withColumn("language", F.lit("javascript")))
