@@ -139,19 +139,19 @@ def route(docs: DataFrame, window: int, gram: int, buckets: int, block_bytes: in
 
     def run(batches):
         held: tuple[list, list, list] = ([], [], [])
-        size, turn = 0, 0
+        size = 0
 
         def flush():
-            nonlocal turn
             out = block(*held)
             for x in held:
                 x.clear()
             if out is None:
                 return
             (d, k, f, t), blobs = out
-            turn += 1
             nb, ns = len(blobs), len(d)
-            spread = (np.arange(ns) // 4096 + turn * 31) % buckets
+            # Known spans only pass through a bucket: any will do, so they are spread evenly, those of copies too.
+            own = mix(np.asarray(d, np.int64).view(np.uint64)) + np.asarray(k, np.int64).view(np.uint64) + np.asarray(f, np.int64).view(np.uint64)
+            spread = (mix(own) % np.uint64(buckets)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.r_[np.array([x for x, _ in blobs], np.int64), spread].astype(np.int32)),
