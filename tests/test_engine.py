@@ -49,6 +49,20 @@ def test_detectors(spark):
             assert all(t[r.offset : r.offset + r.length] == r.match for r in rows if r.doc_id == i)
 
 
+
+@pytest.mark.parametrize("name, kind, texts", [
+    ("find_card_luhn", "credit-card", ["pay 4111111111111111 5555555555554444 now", "5555 5555 5555 4444\n", "4111111111111111  5555555555554444", "\u0417 4111\u200b111111111111", "x4111-1111-1111-1111-5555555555554444", None]),
+])
+def test_numbers_side_by_side_as_in_sql(spark, tmp_path, name, kind, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(catalogue.ORACLE_SQL[name].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and sum(i == 0 for i, _ in want) == 1
+    # The rule, which redaction and pseudonyms use, finds both.
+    assert spans.findings(docs.where("doc_id = 0"), by_type(kind)[:1]).count() == 2
+
+
 def test_anonymise_round_trip_and_partitions(spark):
     texts = [t for _, t, _ in CASES] + [None, "", "ä a@b.de ö a@b.de 10.1.2.3"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
