@@ -134,6 +134,18 @@ def test_near_duplicates_large_family_ends(spark):
     assert len(got) == 1300 and all(r.kept and r.component_id == r.doc_id for r in got)
 
 
+def test_pivots_of_a_class_do_not_grow_with_its_bands(spark):
+    """400 classes, none linked, of which a different half is in each of 32 bands; the last 40 are too long for the others."""
+    rng = random.Random(3)
+    rows = [(b, b, n, 100 if n < 360 else 200, n) for b in range(32) for n in rng.sample(range(400), 200)]
+    labelled = spark.createDataFrame(rows, "band long, i int, node long, n_shingles long, comp long")
+    members = {b: {r[2] for r in rows if r[0] == b} for b in range(32)}
+    for pivots, in_all in ((1, False), (8, True)):
+        pairs = [tuple(r) for r in neardup._pivot_pairs(labelled, 80, pivots, in_all).collect()]
+        assert all(a < b and (a < 360) == (b < 360) and any({a, b} <= m for m in members.values()) for a, b in pairs)
+        assert len(set(pairs)) == len(pairs) <= (8 * 400 if in_all else len(rows))
+
+
 def test_estimate_loses_no_more_than_the_bands():
     """By the normal tail, a pair at 0.8 (chance agreement of the low bits included) against its chance to share no band."""
     p = {n: x.default for n, x in inspect.signature(neardup.near_duplicates).parameters.items()}

@@ -5,8 +5,10 @@
 2. Collapse: equal shingle sets (equal digests, so equal texts too) are one class, a node with a number of its own. One of
    the texts of its least doc_id stands for it. Classes of one doc_id are linked.
 3. Candidates: classes that share a band key. Copies in a band are never expanded into all pairs: in the first round
-   the other classes of a band pair with its least node, in the second with up to `pivots` others, unless they are in
-   one component already. Pairs whose collision-corrected estimate is far below the threshold are dropped.
+   the other classes of a band pair with its least node. In the second, every band has `pivots` classes, the first in as
+   many hash orders, and a class pairs with the first of each order over all its bands: `pivots` others at most. Classes
+   of one component, or of sizes that allow no link, don't pair; nor do those whose collision-corrected estimate is far
+   below the threshold.
 4. Confirm: links are decided on the full shingle sets. Confirmed links merge components; bands whose classes are all in
    one component are done.
 5. The rest: in a band that still has several components, every class outside its largest component meets every class
@@ -244,6 +246,24 @@ def _rest(labelled: DataFrame, signs: DataFrame, texts: DataFrame, meet, block_r
     return full.groupBy("band", "u", "v").applyInArrow(meet, "a long, b long")
 
 
+def _pivot_pairs(labelled: DataFrame, percent: int, pivots: int, in_all: bool) -> DataFrame:
+    """Pairs (a, b) of a class and a pivot of a band: of other components, and of sizes that allow a link.
+
+    One pivot a band is its least node; several are the first in as many hash orders. in_all: a class meets the first of
+    each order over all its bands, `pivots` others at most, and not up to `pivots` in each of its bands.
+    """
+    order = lambda n: F.xxhash64("node", F.lit(n)) if pivots > 1 else F.col("node")
+    places = [f"p{n}" for n in range(pivots)]
+    chosen = [F.min(F.struct(order(n).alias("o"), "node", "comp", "n_shingles")).alias(p) for n, p in enumerate(places)]
+    mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *chosen).where("lo != hi").drop("lo", "hi")
+    fits = lambda p: F.expr(f"if(comp != {p}.comp and 100 * least(n_shingles, {p}.n_shingles) >= {percent} * greatest(n_shingles, {p}.n_shingles), {p}, null)")
+    met = labelled.join(mixed, "band").select("node", *(fits(p).alias(p) for p in places))
+    if in_all:
+        met = met.groupBy("node").agg(*(F.min(p).alias(p) for p in places))
+    each = met.select("node", F.explode(F.array(*(F.col(f"{p}.node") for p in places))).alias("other")).where("other is not null")
+    return each.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     k: int = 5,
@@ -294,12 +314,7 @@ def near_duplicates(
         if turn == 3:
             found = _rest(labelled, signs, texts, _meet(k, percent, n_hashes, bits, slack), block_rows, block_bytes)
         else:
-            order = lambda n, t=turn: F.xxhash64("node", F.lit(n)) if t > 1 else F.col("node")
-            chosen = F.array_distinct(F.array(*[F.min(F.struct(order(n).alias("o"), "node", "comp")) for n in range(pivots if turn > 1 else 1)]))
-            mixed = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), chosen.alias("pivots"))
-            mixed = mixed.where("lo != hi").select("band", F.transform("pivots", lambda p: F.struct(p["node"].alias("node"), p["comp"].alias("comp"))).alias("pivots"))
-            each = labelled.join(mixed, "band").select("node", "comp", F.explode("pivots").alias("p")).where("comp != p.comp")
-            pairs = each.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+            pairs = _pivot_pairs(labelled, percent, 1 if turn == 1 else pivots, in_all=turn > 1)
             likely = scratch.table(pairs.join(a, "a").join(b, "b").where(near).select("a", "b"), f"pairs-{turn}")
             found = _confirm(likely, texts, k, percent)
         found = scratch.table(found, f"links-{turn}")
