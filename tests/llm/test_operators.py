@@ -4,6 +4,7 @@ import inspect
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -167,6 +168,19 @@ def test_near_duplicates_of_each_text_of_an_id(spark):
     assert all(r.kept == (r.doc_id == want[r.doc_id]) for r in got)
 
 
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    files = lambda: {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|").split("|") if "shuffle_" in (f := d)}
+    old = files()
+    table = neardup.Scratch(spark, "test").table(spark.range(10_000).groupBy((F.col("id") % 500).alias("k")).count(), "t")
+    assert table.count() == 500 and table.agg(F.sum("count")).first()[0] == 10_000
+    end = time.time() + 20
+    # The two counts' own shuffles of one partition may stay: at most two files each.
+    while len(left := files() - old) > 4 and time.time() < end:
+        time.sleep(0.2)
+    assert len(left) <= 4 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(50, 60), (60, 55), (70, 70)]
     got = neardup.components(spark.createDataFrame(edges, "a long, b long"), neardup.Scratch(spark, "cc"), "t").collect()

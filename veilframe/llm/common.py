@@ -34,6 +34,10 @@ def scratch_root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Spark removes a query's shuffle files when it ends, not when the driver's garbage is collected.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables that cut lineage, written under one fresh folder of the shared scratch root."""
 
@@ -42,9 +46,17 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/veilframe-{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back; no read infers a schema, so empty tables work."""
+        """Write df and read it back; no read infers a schema, so empty tables work.
+
+        What was shuffled for it is removed at once: only the table is read from here on.
+        """
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_FREE)
+        self.spark.conf.set(_FREE, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_FREE, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
